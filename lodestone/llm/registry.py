@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontaminate, pieces, pii, quality, secrets, toxicity, urls
+from lodestone.llm import chat, decontaminate, jaccard, pieces, pii, quality, secrets, simhash, toxicity, urls
 from lodestone.llm.common import load
 
 
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_urls": lambda s, d: urls.op3(load(s, d, "pages")),
         "op4_secrets": lambda s, d: secrets.op4(load(s, d, "documents")),
         "op5_pieces": lambda s, d: pieces.op5(load(s, d, "documents")),
+        "op6_jaccard": lambda s, d: jaccard.op6(load(s, d, "documents")),
         "op7_pii": lambda s, d: pii.op7(load(s, d, "documents")),
+        "op8_simhash": lambda s, d: simhash.op8(load(s, d, "documents")),
         "op9_decontaminate": lambda s, d: decontaminate.op9(load(s, d, "documents"), load(s, d, "benchmark")),
         "op10_toxicity": lambda s, d: toxicity.op10(load(s, d, "documents"), load(s, d, "labels")),
     }
