@@ -3,8 +3,9 @@
 Distance is one minus the Jaccard similarity of the sets of word shingles, a metric. Which documents can lie
 within the threshold at all is found by shared shingles: in one order of all shingles (common ones last) two
 linked sets share one of their first ``n - ceil(t n) + 1``. The documents that share such a shingle lie around one
-pivot, the smallest of them; the documents of a pivot are its Voronoi region. Distances to the pivot are
-computed exactly; those within the threshold link to it. By the triangle inequality two linked documents differ
+pivot, the smallest set of them; the documents of a pivot are its Voronoi region. Distances to the pivot are
+computed exactly; those within the threshold link to it. (Sizes of linked sets differ by a fifth at most, the
+same bound against the empty set, so a shingle's documents are first parted where their sorted sizes leap.) By the triangle inequality two linked documents differ
 by at most the threshold in their distance to the pivot, so a region is cut into rings of that width, the
 documents of a ring stand in the next one's window too, and cells that are large get a pivot of their own and
 are cut again. Small cells are joined exactly in memory; a cell that no pivot parts is joined block by block.
@@ -139,14 +140,14 @@ class _Prefixed:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = self.common.value  # hashes sorted; rank: later for more common ones
         for b in batches:
-            keys, owners, is_common = [], [], []
+            keys, sizes, owners, is_common = [], [], [], []
             ids = b.column(0).to_pylist()
             for i, text in enumerate(as_bytes(b.column(1))):
                 s = shingles(text, self.size)
                 if not len(s):
                     continue
                 own = NO_ID + int.from_bytes(xxh3_128_digest(text)[:7], "big") if ids[i] is None else ids[i]
-                n = prefix_length(len(s), self.percent)
+                n, whole_size = prefix_length(len(s), self.percent), len(s)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     rank = np.where(hashes[at] == s, ranks[at], 0)
@@ -155,10 +156,11 @@ class _Prefixed:
                 else:
                     s, rank = s[:n], np.zeros(min(n, len(s)), np.int64)
                 keys.append(packed(s))
+                sizes.append(np.full(len(s), whole_size, np.int32))
                 owners.append(np.full(len(s), own, np.int64))
                 is_common.append(rank > 0)
             whole = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(whole(keys, np.int64)), pa.array(whole(owners, np.int64)), pa.array(whole(is_common, bool))], names=["key", "id", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole(keys, np.int64)), pa.array(whole(sizes, np.int32)), pa.array(whole(owners, np.int64)), pa.array(whole(is_common, bool))], names=["key", "n", "id", "common"])
 
 
 def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,13 +354,15 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     nodes = materialize(own.where("n > 0").groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     node_of = materialize(own.where("n > 0").select("id", "digest").distinct().join(nodes, "digest").select("id", "node"), "members")
 
-    keys = arrow_map(rows, _Prefixed(size, percent, table), "key long, id long, common boolean")
-    keys = materialize(keys.where("common").drop("common"), "common-keys"), keys.where("NOT common").drop("common")
-    first = keys[0].groupBy("key").agg(F.min("id").alias("pivot"))  # at most COMMON_ROWS keys
-    around = keys[0].join(F.broadcast(first), "key").select("id", "pivot")
-    # Of a key's rows, sorted by id, each that isn't the first goes to the first one's region.
-    rest = arrow_map(keys[1].repartition("key").sortWithinPartitions("key", "id"), _around, "id long, pivot long")
-    pairs = around.unionByName(rest).where("id != pivot").distinct()
+    keys = arrow_map(rows, _Prefixed(size, percent, table), "key long, n int, id long, common boolean")
+    # Few keys, but of many rows: sizes fall into bands of which linked ones span two, and pivots are found by partial sums.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 * 100 / percent)))
+    banded = materialize(keys.where("common").select("key", F.explode(F.array(band, band + 1)).alias("band"), "n", "id"), "common-keys")
+    first = banded.groupBy("key", "band").agg(F.min(F.struct("n", "id")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "band", F.col("first.id").alias("pivot"))
+    around = banded.join(first, ["key", "band"]).select("id", "pivot")
+    # Of other keys' rows, sorted by size, each run of sizes that may link goes to the region of its first one.
+    rest = keys.where("NOT common").select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
+    pairs = around.unionByName(arrow_map(rest, _Around(percent), "id long, pivot long")).where("id != pivot").distinct()
     as_node = lambda df, c: df.join(node_of.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node")), c)
     pairs = as_node(as_node(pairs, "id"), "pivot").select(F.col("pivot_node").alias("cell"), F.col("pivot_node").alias("pivot"), F.col("id_node").alias("id"))
     pairs = materialize(pairs.where("id != pivot").distinct(), "pairs")
@@ -371,19 +375,26 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     return own.select("id", "n").join(components(edges), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
-def _around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that come sorted by key and id: (id, first id of the key) of all but the first."""
-    last_key, pivot = None, None
-    for b in batches:
-        key, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        if not len(key):
-            continue
-        fresh = np.r_[key[0] != last_key or pivot is None, key[1:] != key[:-1]]
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-        first = np.where(start < 0, own[0] if pivot is None else pivot, own[np.maximum(start, 0)])
-        last_key, pivot = int(key[-1]), int(first[-1])
-        rest = own != first
-        yield pa.RecordBatch.from_arrays([pa.array(own[rest]), pa.array(first[rest])], names=["id", "pivot"])
+class _Around:
+    """Rows that come sorted by key, size and id: (id, first id of its run) of all but the first of each run."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_n, pivot = 0, 0, None
+        for b in batches:
+            key, n, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(key):
+                continue
+            before_key, before_n = np.r_[last_key, key[:-1]], np.r_[last_n, n[:-1]].astype(np.int64)
+            fresh = (key != before_key) | (100 * before_n < self.percent * n.astype(np.int64))
+            fresh[0] |= pivot is None
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+            first = np.where(start < 0, own[0] if pivot is None else pivot, own[np.maximum(start, 0)])
+            last_key, last_n, pivot = int(key[-1]), int(n[-1]), int(first[-1])
+            rest = own != first
+            yield pa.RecordBatch.from_arrays([pa.array(own[rest]), pa.array(first[rest])], names=["id", "pivot"])
 
 
 def op6(documents: DataFrame) -> DataFrame:
