@@ -2,10 +2,12 @@
 
 Distance is one minus the Jaccard similarity of the sets of word shingles, a metric. Which documents can lie
 within the threshold at all is found by shared shingles: in one order of all shingles (common ones last) two
-linked sets share one of their first ``n - ceil(t n) + 1``. The documents that share such a shingle lie around one
+linked sets share k of their first ``n - ceil(t n) + k``. The documents that share such a shingle lie around one
 pivot, the smallest set of them; the documents of a pivot are its Voronoi region. Distances to the pivot are
 computed exactly; those within the threshold link to it. (Sizes of linked sets differ by a fifth at most, the
-same bound against the empty set, so a shingle's documents are first parted where their sorted sizes leap.) By the triangle inequality two linked documents differ
+same bound against the empty set, so a shingle's documents are first parted where their sorted sizes leap. Runs of a
+few documents have no need of a region: their pairs are counted over all shingles, and a pair that no longer run
+holds together can link only if k such runs do.) By the triangle inequality two linked documents differ
 by at most the threshold in their distance to the pivot, so a region is cut into rings of that width, the
 documents of a ring stand in the next one's window too, and cells that are large get a pivot of their own and
 are cut again. Small cells are joined exactly in memory; a cell that no pivot parts is joined block by block.
@@ -32,6 +34,9 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from lodestone.llm.common import arrow_map, as_bytes, materialize
 
 SIZE, PERCENT = 5, 80
+#: Shingles that linked sets share at least among their first ones, which are so many more; runs of a shingle's
+#: documents up to this length are counted by pairs.
+SHARED, SHORT_RUN = 3, 4
 #: Rows of the table of common shingles, which only orders shingles; and counts that make one common.
 COMMON_ROWS, COMMON_LEAST = 65_536, 3
 #: Shingles that a task counts together.
@@ -59,8 +64,9 @@ def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def prefix_length(n: int, percent: int = PERCENT, shared: int = 1) -> int:
+    """First shingles of a set in one order of all, of which a linked set has ``shared`` (or all it has) among its own."""
+    return min(n, n - -(-percent * n // 100) + shared)
 
 
 def linked(shared: int, n: int, m: int, percent: int = PERCENT) -> bool:
@@ -147,7 +153,7 @@ class _Prefixed:
                 if not len(s):
                     continue
                 own = NO_ID + int.from_bytes(xxh3_128_digest(text)[:7], "big") if ids[i] is None else ids[i]
-                n, whole_size = prefix_length(len(s), self.percent), len(s)
+                n, whole_size = prefix_length(len(s), self.percent, SHARED), len(s)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     rank = np.where(hashes[at] == s, ranks[at], 0)
@@ -277,6 +283,12 @@ def measure(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return materialize(arrow_map(rows, _Measured(size), "cell long, pivot long, id long, n long, m long, shared long"), "distances")
 
 
+def near(distances: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of pivots with what lies within the threshold."""
+    within = 100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))
+    return distances.where((F.col("id") != F.col("pivot")) & within).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
+
+
 def rings(distances: DataFrame, percent: int) -> DataFrame:
     """(cell, id, n, window): the cells of rings that documents beyond the threshold occupy, with their windows.
 
@@ -298,8 +310,7 @@ def links(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = P
     out = []
     for depth in range(rounds):
         distances = measure(pairs, texts, size)
-        near = (F.col("id") != F.col("pivot")) & (100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared")))
-        out.append(distances.where(near).select(F.col("pivot").alias("u"), F.col("id").alias("v")))
+        out.append(near(distances, percent))
         cells = materialize(rings(distances.where("id != pivot"), percent), "cells")
         weights = materialize(cells.groupBy("cell").agg(F.sum("n").alias("weight"), F.min(F.struct("window", "id")).alias("first")), "weights")
         out.append(_join(cells.join(weights.where(F.col("weight") <= cell_weight).select("cell"), "cell"), texts, size, percent))
@@ -360,41 +371,74 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     banded = materialize(keys.where("common").select("key", F.explode(F.array(band, band + 1)).alias("band"), "n", "id"), "common-keys")
     first = banded.groupBy("key", "band").agg(F.min(F.struct("n", "id")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "band", F.col("first.id").alias("pivot"))
     around = banded.join(first, ["key", "band"]).select("id", "pivot")
-    # Of other keys' rows, sorted by size, each run of sizes that may link goes to the region of its first one.
+    # Of other keys' rows, sorted by size, each long run of sizes that may link goes to the region of its first one.
     rest = keys.where("NOT common").select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
-    pairs = around.unionByName(arrow_map(rest, _Around(percent), "id long, pivot long")).where("id != pivot").distinct()
+    found = arrow_map(rest, _Around(percent), "id long, pivot long, needed int").groupBy("id", "pivot", "needed").agg(F.count(F.lit(1)).alias("runs"))
+    found = materialize(found.where("needed = 0 OR runs >= needed").select("id", "pivot", (F.col("needed") > 0).alias("single")).unionByName(around.where("id != pivot").distinct().withColumn("single", F.lit(False))), "found")
     as_node = lambda df, c: df.join(node_of.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node")), c)
-    pairs = as_node(as_node(pairs, "id"), "pivot").select(F.col("pivot_node").alias("cell"), F.col("pivot_node").alias("pivot"), F.col("id_node").alias("id"))
-    pairs = materialize(pairs.where("id != pivot").distinct(), "pairs")
+    pairs = as_node(as_node(found, "id"), "pivot").select(F.col("pivot_node").alias("cell"), F.col("pivot_node").alias("pivot"), F.col("id_node").alias("id"), "single")
+    pairs = materialize(pairs.where("id != pivot").groupBy("cell", "pivot", "id").agg(F.min("single").alias("single")), "pairs")
     needed = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
-    texts = materialize(arrow_map(rows, _compressed, "id long, text binary").join(needed, "id", "left_semi"), "texts")
+    texts = materialize(arrow_map(rows, _compressed, "id long, text binary").join(needed.hint("merge"), "id", "left_semi"), "texts")
 
     edges = node_of.where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    for found in links(pairs, texts, size, percent, cell_weight, rounds):
-        edges = edges.unionByName(found)
+    edges = edges.unionByName(near(measure(pairs.where("single").drop("single"), texts, size), percent))
+    for more in links(pairs.where("NOT single").drop("single"), texts, size, percent, cell_weight, rounds):
+        edges = edges.unionByName(more)
     return own.select("id", "n").join(components(edges), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 class _Around:
-    """Rows that come sorted by key, size and id: (id, first id of its run) of all but the first of each run."""
+    """From rows that come sorted by key, size and id: what lies around what, by runs of sizes that may link.
+
+    Of a long run, (id, first id, 0) for all but the first; of a short one all its few pairs, with the number of
+    such runs that a link needs.
+    """
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_n, pivot = 0, 0, None
+        key = n = own = np.zeros(0, np.int64)  # the rows of the last run so far, or its first and last ones
+        cut = 0  # rows of that run that were taken out already
         for b in batches:
-            key, n, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            more = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            key, n, own = (np.concatenate(x) for x in zip((key, n, own), more, strict=True))
             if not len(key):
                 continue
-            before_key, before_n = np.r_[last_key, key[:-1]], np.r_[last_n, n[:-1]].astype(np.int64)
-            fresh = (key != before_key) | (100 * before_n < self.percent * n.astype(np.int64))
-            fresh[0] |= pivot is None
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-            first = np.where(start < 0, own[0] if pivot is None else pivot, own[np.maximum(start, 0)])
-            last_key, last_n, pivot = int(key[-1]), int(n[-1]), int(first[-1])
-            rest = own != first
-            yield pa.RecordBatch.from_arrays([pa.array(own[rest]), pa.array(first[rest])], names=["id", "pivot"])
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (100 * n[:-1] < self.percent * n[1:])])
+            last = int(starts[-1])
+            yield self._told(n[:last], own[:last], starts[:-1], cut)
+            cut = cut if last == 0 else 0
+            key, n, own = key[last:], n[last:], own[last:]
+            if len(key) > 8192:  # a run longer than that is given out as it comes; its first row and enough to be long stay
+                yield self._told(n, own, np.zeros(1, np.int64), cut)
+                keep = np.r_[0, np.arange(len(key) - SHORT_RUN, len(key))]
+                key, n, own, cut = key[keep], n[keep], own[keep], SHORT_RUN
+        yield self._told(n, own, np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (100 * n[:-1] < self.percent * n[1:])]) if len(key) else np.zeros(0, np.int64), cut)
+
+    @staticmethod
+    def _told(n: np.ndarray, own: np.ndarray, starts: np.ndarray, cut: int) -> pa.RecordBatch:
+        """Runs from each start to the next; the first run's rows 1 to ``cut`` are out already."""
+        size = np.diff(np.r_[starts, len(own)])
+        ids, pivots, needed = [], [], []
+        if len(starts):
+            run = np.repeat(np.arange(len(starts)), size)
+            far = (size[run] > SHORT_RUN) & (np.arange(len(own)) != starts[run])
+            far[1 : 1 + cut] = False
+            ids.append(own[far])
+            pivots.append(own[starts[run]][far])
+            needed.append(np.zeros(int(far.sum()), np.int64))
+            for i in range(SHORT_RUN - 1):
+                for j in range(i + 1, SHORT_RUN):
+                    at = starts[(size > j) & (size <= SHORT_RUN)]
+                    ids.append(own[at + j])
+                    pivots.append(own[at + i])
+                    needed.append(np.minimum(SHARED, n[at + i]))
+        whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        ids, pivots, needed = whole(ids), whole(pivots), whole(needed)
+        other = ids != pivots
+        return pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(pivots[other]), pa.array(needed[other].astype(np.int32))], names=["id", "pivot", "needed"])
 
 
 def op6(documents: DataFrame) -> DataFrame:
