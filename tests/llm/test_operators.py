@@ -170,7 +170,8 @@ def test_pieces_equal_the_library_under_its_own_search():
     texts = [prose(k, 50) for k in range(20)]
     own = pieces.Encoder(pieces.load_vocabulary()).encode(texts)
     total = lambda ids: sum(lib.get_score(int(i)) for i in ids)  # noqa: E731  paths of equal score may differ
-    assert [total(x) for x in own] == pytest.approx([total(x) for x in lib.encode(texts)])
+    assert all(total(x) >= total(y) for x, y in zip(own, lib.encode(texts), strict=True))  # the library sums in single precision
+    assert [total(x) for x in own] == pytest.approx([total(x) for x in lib.encode(texts)], rel=1e-5)
     assert sum(x.tolist() == y for x, y in zip(own, lib.encode(texts), strict=True)) >= 15
 
 
