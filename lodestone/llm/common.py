@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts can be long, so a batch stays small.
 BATCH_ROWS = 256
+#: Spark takes no more buckets than this by default.
+MOST_BUCKETS = 100_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +41,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``materialize``, in buckets by ``key``: later joins on it find these rows in place and move the other side only.
+
+    As many buckets as shuffle partitions, so that a shuffled side meets them; rows should come dealt by the key.
+    """
+    spark = df.sparkSession
+    table = f"lodestone_{name}_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(function, schema)

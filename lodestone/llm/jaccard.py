@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from lodestone.llm.common import arrow_map, as_bytes, materialize
+from lodestone.llm.common import arrow_map, as_bytes, bucketed, materialize
 
 SIZE, PERCENT = 5, 80
 #: Shingles that linked sets share at least among their first ones, which are so many more; runs of a shingle's
@@ -276,7 +276,8 @@ def measure(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     regions = pairs.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.count(F.lit(1)).alias("rows"))
     regions = regions.withColumn("salts", F.ceil(F.col("rows") / SALT_ROWS).cast("int"))
     large = regions.where("salts > 1").select("cell", "salts")
-    centres = regions.select("cell", "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("id", "pivot"), "pivot").select("cell", "salt", F.lit(False).alias("member"), F.col("pivot").alias("id"), "text")
+    salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    centres = regions.select("cell", F.col("pivot").alias("id"), "salts").join(texts, "id").select("cell", salt, F.lit(False).alias("member"), "id", "text")
     own = pairs.join(large, "cell", "left").select("cell", "id", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     members = own.join(texts, "id").select("cell", "salt", F.lit(True).alias("member"), "id", "text")
     rows = centres.unionByName(members).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "member", "id")
@@ -379,7 +380,7 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     pairs = as_node(as_node(found, "id"), "pivot").select(F.col("pivot_node").alias("cell"), F.col("pivot_node").alias("pivot"), F.col("id_node").alias("id"), "single")
     pairs = materialize(pairs.where("id != pivot").groupBy("cell", "pivot", "id").agg(F.min("single").alias("single")), "pairs")
     needed = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
-    texts = materialize(arrow_map(rows, _compressed, "id long, text binary").join(needed.hint("merge"), "id", "left_semi"), "texts")
+    texts = bucketed(arrow_map(rows, _compressed, "id long, text binary").join(needed.hint("merge"), "id", "left_semi"), "texts", "id")
 
     edges = node_of.where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     edges = edges.unionByName(near(measure(pairs.where("single").drop("single"), texts, size), percent))
