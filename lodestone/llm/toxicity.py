@@ -68,13 +68,18 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in (x.strip(b"!'$@") for x in text.translate(_WORDS).lower().split()) if w]
 
 
-def learn(rows: list[tuple[set[bytes], int]]) -> Lexicon:
-    """Parts that stand in toxic rows far more than in others, by smoothed log-odds of row counts."""
+def tally(rows: Iterable[tuple[bytes, int]]) -> tuple[Counter, Counter, int, int]:
+    """In how many toxic and clean rows each part stands, and how many rows of each kind there are."""
     toxic, clean = Counter(), Counter()
     n_toxic = n_clean = 0
-    for found, label in rows:
-        (toxic if label else clean).update(found)
+    for text, label in rows:
+        (toxic if label else clean).update({p for w in set(tokens(text)) for p in parts(w)})
         n_toxic, n_clean = n_toxic + (label == 1), n_clean + (label != 1)
+    return toxic, clean, n_toxic, n_clean
+
+
+def learn(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> Lexicon:
+    """Parts that stand in toxic rows far more than in others, by smoothed log-odds of row counts."""
     odds = {k: log((v + 0.5) / (n_toxic + 1)) - log((clean[k] + 0.5) / (n_clean + 1)) for k, v in toxic.items() if v >= 3}
     strong = {k: v for k, v in odds.items() if v >= 3.0 and clean[k] <= 0.1 * toxic[k]}
     weak = {k: v for k, v in odds.items() if 1.0 <= v and k not in strong}
@@ -134,17 +139,19 @@ def fit(sample: list[tuple[bytes, int]]) -> Model:
     if len(sample) < 4 or len(set(y)) < 2:
         p = float(y.mean()) if len(y) else 0.0
         return Model(Lexicon(), (0.0, []), (np.array([0.0]), np.array([p])))
-    rows = [({p for w in set(tokens(t)) for p in parts(w)}, v) for t, v in sample]
-    x = np.zeros((len(rows), len(FEATURES)))
+    halves = [tally(sample[half::2]) for half in (0, 1)]
+    x = np.zeros((len(sample), len(FEATURES)))
     for half in (0, 1):
-        lexicon, known = learn(rows[1 - half :: 2]), {}
-        for i in range(half, len(rows), 2):
+        lexicon, known = learn(*halves[1 - half]), {}
+        for i in range(half, len(sample), 2):
             x[i] = features(sample[i][0], lexicon, known)
+    whole = learn(*(a + b for a, b in zip(*halves, strict=True)))
+    del halves
     out_of_fold = np.zeros(len(y))
     for half in (0, 1):
         at = np.arange(len(y)) % 2 == half
         out_of_fold[at] = margins(boost(x[~at], y[~at], trees=40), x[at])
-    return Model(learn(rows), boost(x, y, trees=40), isotonic(out_of_fold, y))
+    return Model(whole, boost(x, y, trees=40), isotonic(out_of_fold, y))
 
 
 class _Scored:
