@@ -371,6 +371,7 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 * 100 / percent)))
     banded = materialize(keys.where("common").select("key", F.explode(F.array(band, band + 1)).alias("band"), "n", "id"), "common-keys")
     first = banded.groupBy("key", "band").agg(F.min(F.struct("n", "id")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "band", F.col("first.id").alias("pivot"))
+    first = materialize(first, "common-pivots")  # read anew, the join's sides are plain exchanges, of which a hot key's can be split
     around = banded.join(first, ["key", "band"]).select("id", "pivot")
     # Of other keys' rows, sorted by size, each long run of sizes that may link goes to the region of its first one.
     rest = keys.where("NOT common").select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
