@@ -10,7 +10,8 @@ few documents have no need of a region: their pairs are counted over all shingle
 holds together can link only if k such runs do.) By the triangle inequality two linked documents differ
 by at most the threshold in their distance to the pivot, so a region is cut into rings of that width, the
 documents of a ring stand in the next one's window too, and cells that are large get a pivot of their own and
-are cut again. Small cells are joined exactly in memory; a cell that no pivot parts is joined block by block.
+are cut again. Regions within a task's memory are cut there, others over tables. Small cells are joined exactly in
+memory; a cell that no pivot parts is joined block by block.
 
 Documents with equal sets are one class, and a cell gives a spanning forest of its links, so that copies are not
 expanded into pairs. Components come from star contraction over link tables that are written to the shared
@@ -217,10 +218,54 @@ class _Joined:
         yield self._links(members)
 
     def _links(self, members: list[tuple[int, bool, np.ndarray]]) -> pa.RecordBatch:
-        found = join_in_memory(members, self.percent)
+        return self._told(join_in_memory(members, self.percent))
+
+    @staticmethod
+    def _told(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
 
 
+class _Cut(_Joined):
+    """Regions that fit in memory, each with its pivot first: cut into rings, joined with their windows, as links."""
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        cell, members = None, []
+        for b in batches:
+            for at, own, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if at != cell:
+                    yield self._region(members)
+                    cell, members = at, []
+                members.append((own, shingles(unpack(text), self.size)))
+        yield self._region(members)
+
+    def _region(self, members: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        return self._told(join_around(members, self.percent))
+
+
+def join_around(members: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links of a region, its pivot first: those of the pivot, and of each ring with itself and its window."""
+    if len(members) < 2:
+        return []
+    pivot, centre = members[0]
+    out: list[tuple[int, int]] = []
+    placed: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for own, s in members[1:]:
+        shared = overlap(s, centre)
+        if linked(shared, len(s), len(centre), percent):
+            out.append((pivot, own))
+        placed.setdefault(ring_of(shared, len(s) + len(centre) - shared, percent), []).append((own, s))
+    for k, homes in placed.items():
+        if k:  # those of ring 0 are linked through the pivot
+            out += join_in_memory([(own, False, s) for own, s in homes] + [(own, True, s) for own, s in placed.get(k - 1, ())], percent)
+    return out
+
+
+def ring_of(shared: int, union: int, percent: int) -> int:
+    """Ring k holds distances over k and up to k + 1 thresholds."""
+    return max(0, -(-100 * (union - shared) // (union * (100 - percent))) - 1) if union else 0
+
+
 def join_in_memory(members: list[tuple[int, bool, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links of a cell as a spanning forest; two documents of the window are not compared with each other.
 
@@ -284,6 +329,14 @@ def measure(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return materialize(arrow_map(rows, _Measured(size), "cell long, pivot long, id long, n long, m long, shared long"), "distances")
 
 
+def cut(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of regions that fit in memory, from (cell, pivot, id): each goes to one task, its texts once."""
+    centres = pairs.groupBy("cell").agg(F.first("pivot").alias("id")).select("cell", F.lit(False).alias("member"), "id")
+    every = centres.unionByName(pairs.select("cell", F.lit(True).alias("member"), "id"))
+    rows = every.join(texts, "id").select("cell", "member", "id", "text").repartition("cell").sortWithinPartitions("cell", "member", "id")
+    return materialize(arrow_map(rows, _Cut(size, percent), "u long, v long"), "region-links")
+
+
 def near(distances: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) of pivots with what lies within the threshold."""
     within = 100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))
@@ -307,8 +360,15 @@ def rings(distances: DataFrame, percent: int) -> DataFrame:
 
 
 def links(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = PERCENT, cell_weight: int = CELL_WEIGHT, rounds: int = ROUNDS) -> list[DataFrame]:
-    """All links among the documents of common regions, up to connection: tables of (u, v)."""
-    out = []
+    """All links among the documents of common regions, from (cell, pivot, id, n), up to connection: tables of (u, v).
+
+    Regions within ``cell_weight`` are cut in one task each, the others over tables, until their cells are small.
+    """
+    weights = materialize(pairs.groupBy("cell").agg(F.sum("n").alias("weight")), "region-weights")
+    out = [cut(pairs.join(weights.where(F.col("weight") <= cell_weight), "cell", "left_semi"), texts, size, percent)]
+    pairs = pairs.join(weights.where(F.col("weight") > cell_weight), "cell", "left_semi").select("cell", "pivot", "id")
+    if weights.where(F.col("weight") > cell_weight).isEmpty():
+        return out
     for depth in range(rounds):
         distances = measure(pairs, texts, size)
         out.append(near(distances, percent))
@@ -364,7 +424,7 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     table = spark.sparkContext.broadcast((hashes[by], (len(hashes) - np.arange(len(hashes)))[by]))
     own = profile.where("digest IS NOT NULL")
     nodes = materialize(own.where("n > 0").groupBy("digest").agg(F.min("id").alias("node")), "nodes")
-    node_of = materialize(own.where("n > 0").select("id", "digest").distinct().join(nodes, "digest").select("id", "node"), "members")
+    node_of = materialize(own.where("n > 0").select("id", "digest", "n").distinct().join(nodes, "digest").select("id", "node", "n"), "members")
 
     keys = arrow_map(rows, _Prefixed(size, percent, table), "key long, n int, id long, common boolean")
     # Few keys, but of many rows: sizes fall into bands of which linked ones span two, and pivots are found by partial sums.
@@ -377,14 +437,14 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     rest = keys.where("NOT common").select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
     found = arrow_map(rest, _Around(percent), "id long, pivot long, needed int").groupBy("id", "pivot", "needed").agg(F.count(F.lit(1)).alias("runs"))
     found = materialize(found.where("needed = 0 OR runs >= needed").select("id", "pivot", (F.col("needed") > 0).alias("single")).unionByName(around.where("id != pivot").distinct().withColumn("single", F.lit(False))), "found")
-    as_node = lambda df, c: df.join(node_of.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node")), c)
-    pairs = as_node(as_node(found, "id"), "pivot").select(F.col("pivot_node").alias("cell"), F.col("pivot_node").alias("pivot"), F.col("id_node").alias("id"), "single")
-    pairs = materialize(pairs.where("id != pivot").groupBy("cell", "pivot", "id").agg(F.min("single").alias("single")), "pairs")
+    as_node = lambda df, c: df.join(node_of.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node"), F.col("n").alias(f"{c}_n")), c)
+    pairs = as_node(as_node(found, "id"), "pivot").select(F.col("pivot_node").alias("cell"), F.col("pivot_node").alias("pivot"), F.col("id_node").alias("id"), F.col("id_n").alias("n"), "single")
+    pairs = materialize(pairs.where("id != pivot").groupBy("cell", "pivot", "id").agg(F.min("single").alias("single"), F.max("n").alias("n")), "pairs")
     needed = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
     texts = bucketed(arrow_map(rows, _compressed, "id long, text binary").join(needed.hint("merge"), "id", "left_semi"), "texts", "id")
 
     edges = node_of.where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    edges = edges.unionByName(near(measure(pairs.where("single").drop("single"), texts, size), percent))
+    edges = edges.unionByName(near(measure(pairs.where("single").select("cell", "pivot", "id"), texts, size), percent))
     for more in links(pairs.where("NOT single").drop("single"), texts, size, percent, cell_weight, rounds):
         edges = edges.unionByName(more)
     return own.select("id", "n").join(components(edges), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
