@@ -33,12 +33,30 @@ def shard_of(key: Column, shards: int) -> Column:
     return (djb2(key) % shards).cast("int")
 
 
+def general(c: Column, digits: int = 10) -> Column:
+    """A double with so many significant digits: plain where its exponent is from -4 up to ``digits`` - 1, else with an exponent."""
+    x = c.cast("double")
+    exact = F.format_string(f"%.{digits - 1}e", x)  # -d.ddde+xx
+    sign = F.when(F.startswith(exact, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.regexp_replace(F.substring_index(exact, "e", 1), r"[-.]", "")
+    power = F.substring_index(exact, "e", -1)
+    e = power.cast("int")
+    below = F.concat(F.substring(F.lit("000"), F.lit(1), -e - 1), mantissa)
+    whole = F.when(e < 0, F.lit("0")).otherwise(F.substring(mantissa, F.lit(1), e + 1))
+    plain = F.concat(whole, F.lit("."), F.when(e < 0, below).otherwise(F.substring(mantissa, e + 2, F.lit(digits))))
+    scaled = F.concat(F.substring(mantissa, 1, 1), F.lit("."), F.substring(mantissa, 2, digits))
+    bare = lambda t: F.regexp_replace(t, r"\.?0*$", "")  # noqa: E731  all texts here have a point
+    text = F.when((e < -4) | (e >= digits), F.concat(sign, bare(scaled), F.lit("e"), power)).otherwise(F.concat(sign, bare(plain)))
+    infinite = F.abs(x) == F.lit(float("inf"))
+    return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(infinite, F.when(x > 0, "inf").otherwise("-inf")).otherwise(text)
+
+
 def fmt_value(c: Column, kind: str) -> Column:
-    """Text as a wire client sees it: null as NULL, booleans upper-case, doubles with ten decimals at most."""
+    """Text as a wire client sees it: null as NULL, booleans upper-case, doubles with ten significant digits."""
     if kind == "boolean":
         text = F.upper(c.cast("string"))
     elif kind in ("double", "float"):
-        text = F.regexp_replace(F.round(c, 10).cast("string"), r"\.0$", "")
+        text = general(c)
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("NULL"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.engine import dialect
 from lodestone.engine.catalog import CommitConflict
 from lodestone.engine.session import Engine, EngineError
+from lodestone.functions import fmt_value
 
 
 @pytest.fixture
@@ -100,3 +104,11 @@ def test_null_order_at_depth():
     text = dialect.rewrite("SELECT a, row_number() OVER (PARTITION BY b ORDER BY c DESC, f(d, e)) FROM t ORDER BY a, b NULLS FIRST OFFSET 1 LIMIT 2")
     assert "c DESC NULLS FIRST , f ( d , e ) NULLS LAST )" in text
     assert text.endswith("ORDER BY a NULLS LAST , b NULLS FIRST LIMIT 2 OFFSET 1")
+
+
+def test_fmt_value_has_ten_significant_digits(spark):
+    values = [0.0, -0.0, 1.0, -2.5, 1 / 3, 123456789.125, 9999999999.0, 12345678901.5, 1e10, -1e-4, 1.5e-5, 6.02214076e23, 100.0, 2e-300, 0.00012345678912345]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(fmt_value(F.col("v"), "double").alias("t")).collect()
+    assert [r.t for r in got] == [f"{v:.10g}" for v in values]
+    odd = spark.createDataFrame([(0, None), (1, math.nan), (2, math.inf), (3, -math.inf)], "i int, v double")
+    assert [r.t for r in odd.orderBy("i").select(fmt_value(F.col("v"), "double").alias("t")).collect()] == ["NULL", "nan", "inf", "-inf"]
