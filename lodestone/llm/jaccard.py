@@ -461,33 +461,41 @@ class _Around:
         self.percent = percent
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = n = own = np.zeros(0, np.int64)  # the rows of the last run so far, or its first and last ones
-        cut = 0  # rows of that run that were taken out already
+        key = n = own = np.zeros(0, np.int64)  # the rows of the last run so far
+        open_run = None  # of a run over 8192 rows, which are given out as they come: key and size of its last row, and its first id
         for b in batches:
             more = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            if open_run and len(more[0]):
+                at, size, first = open_run
+                ends = np.flatnonzero(self._parted(np.r_[at, more[0]], np.r_[size, more[1]]))
+                to = int(ends[0]) if len(ends) else len(more[0])
+                yield self._batch(more[2][:to], np.full(to, first), np.zeros(to, np.int64))
+                open_run = None if len(ends) else (at, more[1][-1], first)
+                more = [x[to:] for x in more]
             key, n, own = (np.concatenate(x) for x in zip((key, n, own), more, strict=True))
             if not len(key):
                 continue
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (100 * n[:-1] < self.percent * n[1:])])
+            starts = np.flatnonzero(np.r_[True, self._parted(key, n)])
             last = int(starts[-1])
-            yield self._told(n[:last], own[:last], starts[:-1], cut)
-            cut = cut if last == 0 else 0
+            yield self._told(n[:last], own[:last], starts[:-1])
             key, n, own = key[last:], n[last:], own[last:]
-            if len(key) > 8192:  # a run longer than that is given out as it comes; its first row and enough to be long stay
-                yield self._told(n, own, np.zeros(1, np.int64), cut)
-                keep = np.r_[0, np.arange(len(key) - SHORT_RUN, len(key))]
-                key, n, own, cut = key[keep], n[keep], own[keep], SHORT_RUN
-        yield self._told(n, own, np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (100 * n[:-1] < self.percent * n[1:])]) if len(key) else np.zeros(0, np.int64), cut)
-
-    @staticmethod
-    def _told(n: np.ndarray, own: np.ndarray, starts: np.ndarray, cut: int) -> pa.RecordBatch:
-        """Runs from each start to the next; the first run's rows 1 to ``cut`` are out already."""
+            if len(key) > 8192:
+                yield self._told(n, own, np.zeros(1, np.int64))
+                open_run = key[-1], n[-1], own[0]
+                key = n = own = np.zeros(0, np.int64)
+        yield self._told(n, own, np.flatnonzero(np.r_[True, self._parted(key, n)]) if len(key) else np.zeros(0, np.int64))
+
+    def _parted(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether a run ends between a row and the next."""
+        return (key[1:] != key[:-1]) | (100 * n[:-1] < self.percent * n[1:])
+
+    def _told(self, n: np.ndarray, own: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        """Runs from each start to the next."""
         size = np.diff(np.r_[starts, len(own)])
         ids, pivots, needed = [], [], []
         if len(starts):
             run = np.repeat(np.arange(len(starts)), size)
             far = (size[run] > SHORT_RUN) & (np.arange(len(own)) != starts[run])
-            far[1 : 1 + cut] = False
             ids.append(own[far])
             pivots.append(own[starts[run]][far])
             needed.append(np.zeros(int(far.sum()), np.int64))
@@ -498,7 +506,10 @@ class _Around:
                     pivots.append(own[at + i])
                     needed.append(np.minimum(SHARED, n[at + i]))
         whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        ids, pivots, needed = whole(ids), whole(pivots), whole(needed)
+        return self._batch(whole(ids), whole(pivots), whole(needed))
+
+    @staticmethod
+    def _batch(ids: np.ndarray, pivots: np.ndarray, needed: np.ndarray) -> pa.RecordBatch:
         other = ids != pivots
         return pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(pivots[other]), pa.array(needed[other].astype(np.int32))], names=["id", "pivot", "needed"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import chat, decontaminate, jaccard, pieces, pii, quality, secrets, simhash, toxicity, urls
@@ -64,6 +65,28 @@ def test_jaccard_cuts_large_cells(spark):
         assert {x.id: (x.n, x.component) for x in rows} == want
 
 
+def test_jaccard_runs_against_brute_force():
+    r = np.random.default_rng(5)
+    rows = [(1, 100 + 220 * i // 20_000, i) for i in range(20_000)]  # sizes grow slowly, with no leap
+    rows += [(2, 10 + i // 3000 + 500 * (i >= 9000), 30_000 + i) for i in range(9004)]  # a long run, then a short one
+    rows += [(3 + k, int(n), 50_000 + 50 * k + i) for k in range(200) for i, n in enumerate(sorted(r.integers(5, 60, r.integers(1, 12))))]
+    rows += [(400, 50 + i // 4000, 70_000 + i) for i in range(8193)] + [(401, 50, 80_000 + i) for i in range(4)] + [(402, 50 + i // 900, 90_000 + i) for i in range(8192)]
+    want, run = set(), []
+    for row, after in zip(rows, [*rows[1:], (None, 0, 0)], strict=True):
+        run.append(row)
+        if after[0] != row[0] or 100 * row[1] < 80 * after[1]:
+            if len(run) > jaccard.SHORT_RUN:
+                want |= {(i, run[0][2], 0) for _, _, i in run[1:]}
+            else:
+                want |= {(b[2], a[2], min(jaccard.SHARED, a[1])) for k, a in enumerate(run) for b in run[k + 1 :]}
+            run = []
+    table = pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "n", "id"])
+    for size in (256, 1000, 8192, len(rows)):
+        found = pa.Table.from_batches(jaccard._Around(80)(table.to_batches(max_chunksize=size))).to_pylist()
+        got = [(x["id"], x["pivot"], x["needed"]) for x in found]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_jaccard_keeps_one(docs, empty):
     kept = jaccard.keep_one(docs)
     assert kept.schema == docs.schema or kept.columns == docs.columns
