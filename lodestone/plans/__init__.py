@@ -24,7 +24,7 @@ SHARDS = 4
 SQL: dict[str, tuple[str, str | None]] = {
     "seq_scan_project": ("SELECT s_suppkey, s_name, s_acctbal FROM supplier", None),
     "filter_comparison_ops": (
-        "SELECT o_orderkey FROM orders WHERE o_orderkey >= 10 AND o_orderkey <= 900 AND o_custkey <> 5 AND o_totalprice > 1000 AND o_totalprice < 200000 AND o_orderstatus = 'O'", None),
+        "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '2001-08-01 00:00:00' AND o_custkey <> 5 AND o_totalprice > 1000 AND o_totalprice < 200000 AND o_orderstatus = 'O'", None),
     "filter_and_or_not": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity < 10 OR l_discount > 0.05) AND (l_returnflag = 'A' OR l_linestatus = 'F')", None),
     "filter_in": ("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", None),
     "filter_not_in": ("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')", None),
@@ -34,8 +34,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "unary_minus": ("SELECT c_custkey, -c_acctbal AS owed, +c_nationkey AS nation FROM customer", None),
     "join_inner": ("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", None),
     "join_left": ("SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey", None),
-    "join_right": ("SELECT a.c_custkey AS l_key, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 50) a RIGHT JOIN (SELECT * FROM orders WHERE o_orderkey < 500) b ON a.c_custkey = b.o_custkey", None),
-    "join_full": ("SELECT a.c_custkey AS l_key, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 50) a FULL OUTER JOIN (SELECT * FROM orders WHERE o_orderkey < 500) b ON a.c_custkey = b.o_custkey", None),
+    "join_right": ("SELECT a.c_custkey AS l_key, o_orderkey FROM customer a RIGHT JOIN orders b ON CASE WHEN a.c_acctbal > 0 THEN a.c_custkey END = CASE WHEN b.o_orderstatus <> 'F' THEN b.o_custkey ELSE -1 - b.o_orderkey END", None),
+    "join_full": ("SELECT a.c_custkey AS l_key, o_orderkey FROM customer a FULL OUTER JOIN orders b ON CASE WHEN a.c_acctbal > 0 THEN a.c_custkey END = CASE WHEN b.o_orderstatus <> 'F' THEN b.o_custkey ELSE -1 - b.o_orderkey END", None),
     "join_multi": ("SELECT r_name, n_name, c_custkey, o_orderkey FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey", None),
     "join_swapped_on": ("SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey", None),
     "agg_global": ("SELECT count(l_orderkey) AS n, CAST(sum(l_quantity) AS DOUBLE) AS total, min(l_shipdate) AS first, max(l_shipdate) AS last, round(avg(l_quantity), 6) AS mean FROM lineitem", None),

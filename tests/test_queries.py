@@ -38,3 +38,14 @@ def test_query(name, spark, duck):
     names = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(names)
     assert same(df.select(*names).collect()) == same(want.fetchall())
+
+
+def test_outer_joins_and_filter_reach_whole_tables(spark, duck):
+    customers, orders = ({r[0] for r in duck.execute(f"SELECT {k} FROM {t}").fetchall()} for k, t in (("c_custkey", "customer"), ("o_orderkey", "orders")))
+    for name, left in (("join_right", set()), ("join_full", customers)):
+        rows = plans.queries()[name](spark, SF).collect()
+        assert {r.o_orderkey for r in rows} - {None} == orders and {r.l_key for r in rows} >= left
+        assert any(r.l_key is None for r in rows) and any(None not in r for r in rows)
+        assert any(r.o_orderkey is None for r in rows) == (name == "join_full")
+    want = {r[0] for r in duck.execute("SELECT o_orderkey FROM orders WHERE o_custkey <> 5 AND o_totalprice > 1000 AND o_totalprice < 200000 AND o_orderstatus = 'O'").fetchall()}
+    assert {r.o_orderkey for r in plans.queries()["filter_comparison_ops"](spark, SF).collect()} == want
