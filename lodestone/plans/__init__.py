@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import operators as ops
@@ -50,12 +50,6 @@ SQL: dict[str, tuple[str, str | None]] = {
     "agg_distinct_sum": ("SELECT o_orderstatus, CAST(sum(DISTINCT o_custkey) AS DOUBLE) AS total FROM orders GROUP BY o_orderstatus", None),
     "agg_min_max_text": ("SELECT min(p_name) AS low, max(p_name) AS high FROM part", None),
     "select_distinct": ("SELECT DISTINCT o_orderstatus FROM orders", None),
-    "order_by_asc": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20", None),
-    "order_by_desc": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20", None),
-    "order_by_multi_expr": ("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_linenumber + l_orderkey DESC, l_orderkey, l_linenumber LIMIT 25", None),
-    "order_nulls_last": (
-        "SELECT NULLIF(n_regionkey, 2) AS k, n_nationkey FROM nation ORDER BY NULLIF(n_regionkey, 2), n_nationkey LIMIT 18",
-        "SELECT NULLIF(n_regionkey, 2) AS k, n_nationkey FROM nation ORDER BY NULLIF(n_regionkey, 2) NULLS LAST, n_nationkey LIMIT 18"),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 5 LIMIT 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5"),
     "offset_only": ("SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20", None),
     "limit_zero": ("SELECT n_nationkey FROM nation LIMIT 0", None),
@@ -133,7 +127,30 @@ def _engine_after(*statements: str) -> Query:
     return run
 
 
+def _ranked(text: str) -> Query:
+    """The rows of a sorted query with their rank in its order, counted by partitions so that no task gets all rows."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = _scratch(s)
+        run_sql(s, d, text).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+        rows = s.read.parquet(path).withColumn("part", F.shiftright("at", 33))
+        # One row for each partition, so the window over all of them is small.
+        before = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
+        rank = (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank")
+        return rows.join(F.broadcast(before), "part").select(*[c for c in rows.columns if c not in ("at", "part")], rank)
+
+    return run
+
+
 BUILT: dict[str, tuple[Query, str | None]] = {
+    "order_by_asc": (_ranked("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey"), "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rank FROM customer"),
+    "order_by_desc": (_ranked("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey"), "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer"),
+    "order_by_multi_expr": (
+        _ranked("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_linenumber + l_orderkey DESC, l_orderkey, l_linenumber"),
+        "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_linenumber + l_orderkey DESC, l_orderkey, l_linenumber) AS rank FROM lineitem"),
+    "order_nulls_last": (
+        _ranked("SELECT NULLIF(n_regionkey, 2) AS k, n_nationkey FROM nation ORDER BY NULLIF(n_regionkey, 2), n_nationkey"),
+        "SELECT NULLIF(n_regionkey, 2) AS k, n_nationkey, row_number() OVER (ORDER BY NULLIF(n_regionkey, 2) NULLS LAST, n_nationkey) AS rank FROM nation"),
     "index_point_lookup": (lambda s, d: ops.index_scan(load(s, d, "orders"), "o_orderkey", 100).select("o_orderkey", "o_custkey", "o_totalprice"), "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 100"),
     "buffer_scan": (lambda s, d: ops.buffer_scan(s, [(1, "a"), (2, None), (3, "c")], "id int, val string"), "SELECT * FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) t(id, val)"),
     "ieee_division": (_division, "SELECT l_orderkey, l_linenumber, l_quantity / l_discount AS ratio FROM lineitem"),

@@ -49,3 +49,11 @@ def test_outer_joins_and_filter_reach_whole_tables(spark, duck):
         assert any(r.o_orderkey is None for r in rows) == (name == "join_full")
     want = {r[0] for r in duck.execute("SELECT o_orderkey FROM orders WHERE o_custkey <> 5 AND o_totalprice > 1000 AND o_totalprice < 200000 AND o_orderstatus = 'O'").fetchall()}
     assert {r.o_orderkey for r in plans.queries()["filter_comparison_ops"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize(("name", "table"), [("order_by_asc", "customer"), ("order_by_desc", "customer"), ("order_by_multi_expr", "lineitem"), ("order_nulls_last", "nation")])
+def test_sorts_return_whole_tables(name, table, spark, duck):
+    rows = plans.queries()[name](spark, SF).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, duck.execute(f"SELECT count(*) FROM {table}").fetchone()[0] + 1))
+    if name == "order_nulls_last":
+        assert [r.k is None for r in sorted(rows, key=lambda r: r["rank"])] == [False] * 20 + [True] * 5
