@@ -2,8 +2,9 @@
 
 The network is written and trained in numpy, from labelled spans that a seeded generator sets into invented
 prose: the base kinds and spellings of them that the expressions miss (numbers without a plus, addresses with
-spaces), beside look-alikes that are no personal data. Characters around digits and at-signs are covered by
-overlapping windows; every span that is accepted holds one of these, so nothing else can hold a span. Windows
+spaces), beside look-alikes that are no personal data. Characters around digits and at-signs, and the whole name and
+host beside an at-sign, are covered by overlapping windows; every span that is accepted holds one of these, so
+nothing else can hold a span, and one of an address is widened to the whole of its name and host. Windows
 are decoded by Viterbi, each position takes its tag from the window whose middle is nearest, and the document's
 tag sequence is read into spans. Spans of the network stand where they pass their kind's check (digits, Luhn,
 octets, at-sign) and touch no base span. Null texts count as empty; one pass, no shuffle; repeated rows give a
@@ -41,6 +42,7 @@ _IP = re.compile(rb"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+_HOST_RUN, _HOST = re.compile(r"\s*[A-Za-z0-9.-]*"), re.compile(r"\s*[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
 def luhn(digits: bytes) -> bool:
@@ -284,15 +286,27 @@ def train(hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: in
     return tagger
 
 
+def _name_start(text: str, at: int, least: int = 0) -> int:
+    """Where the run of a name's characters that ends before ``at`` begins."""
+    while at > least and text[at - 1].isascii() and ord(text[at - 1]) in _LOCAL:
+        at -= 1
+    return at
+
+
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the overlapping windows around digits and at-signs."""
+    """(start, end) of the overlapping windows around digits and at-signs, and the names and hosts beside these."""
     regions: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if regions and a <= regions[-1][1]:
-            regions[-1][1] = b
-        else:
-            regions.append([a, b])
+        if m[0] == "@":
+            at = m.start()
+            while at and text[at - 1].isspace():
+                at -= 1
+            a, b = min(a, _name_start(text, at)), max(b, _HOST_RUN.match(text, m.end()).end())
+        while regions and a <= regions[-1][1]:
+            p, q = regions.pop()
+            a, b = min(a, p), max(b, q)
+        regions.append([a, b])
     return [(i, min(i + WINDOW, b)) for a, b in regions for i in range(a, max(a + 1, b - STRIDE), STRIDE)]
 
 
@@ -311,6 +325,16 @@ def spans_of(tags: dict[int, int], order: list[int]) -> list[tuple[str, int, int
     return found
 
 
+def widened(text: str, a: int, b: int, taken: list[tuple[str, int, int]]) -> tuple[int, int]:
+    """A span of an address up to the ends of its name and host, or to the base spans beside it."""
+    at = text.find("@", a, b)
+    if at < 0 or any(s < b and a < e for _, s, e in taken):
+        return a, b
+    host = _HOST.match(text, at + 1)
+    low, high = max((e for _, _, e in taken if e <= a), default=0), min((s for _, s, _ in taken if s >= b), default=len(text))
+    return _name_start(text, a, low), max(b, min(high, host.end())) if host else b
+
+
 def accepted(kind: str, text: str) -> bool:
     """A span of the network passes its kind's check."""
     raw = text.encode()
@@ -358,6 +382,8 @@ def detect(texts: list[bytes], tagger: Tagger) -> list[tuple[list[tuple[str, int
                 a += 1
             while a < b and text[b - 1].isspace():
                 b -= 1
+            if kind == "email":
+                a, b = widened(text, a, b, taken)
             if a < b and accepted(kind, text[a:b]) and all(b <= s or e <= a for _, s, e in taken):
                 out[i][1].append((kind, a, b))
         out[i][1].sort(key=lambda s: (KINDS.index(s[0]), s[1]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,26 @@ def test_secrets_and_pii_against_plain_expressions(spark, tagger):
     assert "[EMAIL]" in masked[5] and "example.com" not in masked[5] and masked[6] == TEXTS[6] and masked[4] is None
 
 
+class _Seen:
+    """Tags what of an address a window shows, as a network that reads all of its window would."""
+
+    def decode(self, x):
+        tags = np.zeros(x.shape, np.int8)
+        for row, own in zip(x, tags, strict=True):
+            for m in re.finditer(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9.-]*[A-Za-z0-9]", "".join(map(chr, row))):
+                own[m.start()], own[m.start() + 1 : m.end()] = 1, 2
+        return tags
+
+
+@pytest.mark.parametrize("name", ["jo", "customer-service-department-of-lost-parcels", "a" * 300])
+@pytest.mark.parametrize("host", ["example.com", "customer-service.example-of-a-long-host-name.com", "h" * 150 + ".example.org"])
+def test_pii_long_addresses_are_masked_whole(name, host):
+    for sign in (" @ ", "@ "):
+        text = f"é write to {name}{sign}{host}. or not, 10.0.0.1 {name}{sign}{host}"
+        base, added = pii.detect([text.encode()], _Seen())[0]
+        assert pii.masked(text, [*base, *added]) == "é write to [EMAIL]. or not, [IP] [EMAIL]"
+
+
 def test_secret_checksums():
     body = b"A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5"
     good = b"x ghp_" + body + secrets.checksum62(body) + b" y"
