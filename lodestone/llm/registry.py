@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jaccard": lambda s, d: jaccard.op6(load(s, d, "documents")),
         "op7_pii": lambda s, d: pii.op7(load(s, d, "documents")),
         "op8_simhash": lambda s, d: simhash.op8(load(s, d, "documents")),
+        "op8_simhash_near": lambda s, d: simhash.op8_near(load(s, d, "documents")),
         "op9_decontaminate": lambda s, d: decontaminate.op9(load(s, d, "documents"), load(s, d, "benchmark")),
         "op10_toxicity": lambda s, d: toxicity.op10(load(s, d, "documents"), load(s, d, "labels")),
     }

@@ -147,7 +147,7 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _counted_with(radius: int):  # noqa: ANN202
+def _paired_with(radius: int):  # noqa: ANN202
     parts = blocks(radius)
     tables = list(combinations(range(len(parts)), 2))
 
@@ -155,71 +155,70 @@ def _counted_with(radius: int):  # noqa: ANN202
         shift, mask = parts[block]
         return ((a ^ b) >> np.uint64(shift)) & np.uint64(mask) == 0
 
-    def close(at: tuple, queries: np.ndarray, fps: np.ndarray, weights: np.ndarray, sums: np.ndarray) -> None:
-        """Adds the weights near each query, counting a pair only in the first table where it agrees."""
+    def close(at: tuple, queries: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of a query and another fingerprint near it, each only in the first table where it agrees."""
         step = max(1, (1 << 18) // max(1, len(fps)))
         for k in range(0, len(queries), step):
             q = queries[k : k + step, None]
-            good = np.bitwise_count(q ^ fps[None]) <= radius
+            far = np.bitwise_count(q ^ fps[None])
+            good = (far > 0) & (far <= radius)
             for i, j in tables[: at[0]]:
                 good &= ~(same(q, fps[None], i) & same(q, fps[None], j))
-            sums[k : k + step] += good @ weights
+            x, y = np.nonzero(good)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(q[x, 0].view(np.int64)), pa.array(fps[y].view(np.int64))], names=["fp", "near"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, found = None, [], ([], [])
-        sums = np.zeros(0, np.int64)
+        key, queries, found = None, [], []
 
-        def flush() -> None:
-            if len(queries) and found[0]:
-                close(key, np.array(queries, np.int64).view(np.uint64), np.array(found[0], np.int64).view(np.uint64), np.array(found[1], np.int64), sums)
-            found[0].clear()
-            found[1].clear()
-
-        def told() -> Iterator[pa.RecordBatch]:
-            flush()
-            if len(queries) and sums.any():
-                some = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(queries, np.int64)[some]), pa.array(sums[some])], names=["fp", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            if queries and found:
+                yield from close(key, np.array(queries, np.int64).view(np.uint64), np.array(found, np.int64).view(np.uint64))
+            found.clear()
 
         for b in batches:
-            for *at, is_query, fp, weight in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for *at, is_query, fp in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if tuple(at) != key:
-                    yield from told()
-                    key, queries, sums = tuple(at), [], np.zeros(0, np.int64)
+                    yield from flush()
+                    key, queries = tuple(at), []
                 if is_query:
                     queries.append(fp)
                 elif queries:
-                    if len(sums) != len(queries):
-                        sums = np.zeros(len(queries), np.int64)
-                    found[0].append(fp)
-                    found[1].append(weight)
-                    if len(found[0]) >= 4096:
-                        flush()
-        yield from told()
+                    found.append(fp)
+                    if len(found) >= 4096:
+                        yield from flush()
+        yield from flush()
 
     return run
 
 
-class _Counted:
+class _Paired:
     def __init__(self, radius: int) -> None:
         self.radius = radius
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted_with(self.radius)(batches)
+        return _paired_with(self.radius)(batches)
 
 
-def near_counts(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, salts: int = SALTS) -> DataFrame:
-    """fp of each query, and n: rows of ``fingerprints`` within the radius. Both tables have a column fp (long)."""
+def near_pairs(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, salts: int = SALTS) -> DataFrame:
+    """(fp, near): each query with each other fingerprint within the radius, once. Both tables have a column fp (long)."""
     parts = blocks(radius)
     keys = F.array(*[
         F.struct(F.lit(t).alias("table"), (F.shiftrightunsigned("fp", parts[i][0]).bitwiseAND(F.lit(parts[i][1])) * (1 << 32) + F.shiftrightunsigned("fp", parts[j][0]).bitwiseAND(F.lit(parts[j][1]))).alias("key"))
         for t, (i, j) in enumerate(combinations(range(len(parts)), 2))
     ])
-    entries = fingerprints.groupBy("fp").agg(F.count(F.lit(1)).alias("weight")).select("fp", "weight", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int").alias("salt"))
-    asked = queries.select("fp").distinct().select("fp", F.lit(0).cast("long").alias("weight"), F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = entries.unionByName(asked).select("fp", "weight", "is_query", "salt", F.explode(keys).alias("k")).select(F.col("k.table").alias("table"), F.col("k.key").alias("key"), "salt", "is_query", "fp", "weight")
+    entries = fingerprints.select("fp").distinct().select("fp", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int").alias("salt"))
+    asked = queries.select("fp").distinct().select("fp", F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = entries.unionByName(asked).select("fp", "is_query", "salt", F.explode(keys).alias("k")).select(F.col("k.table").alias("table"), F.col("k.key").alias("key"), "salt", "is_query", "fp")
     laid = rows.repartition("table", "key", "salt").sortWithinPartitions("table", "key", "salt", F.desc("is_query"))
-    return arrow_map(laid, _Counted(radius), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+    return arrow_map(laid, _Paired(radius), "fp long, near long")
+
+
+def near_counts(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, salts: int = SALTS) -> DataFrame:
+    """fp of each query, and n: rows of ``fingerprints`` within the radius, from the pairs and the sizes of classes."""
+    sizes = fingerprints.groupBy(F.col("fp").alias("near")).agg(F.count(F.lit(1)).alias("weight"))
+    own = queries.select("fp", F.col("fp").alias("near")).distinct()
+    return near_pairs(fingerprints, queries, radius, salts).unionByName(own).join(sizes, "near").groupBy("fp").agg(F.sum("weight").alias("n"))
 
 
 def op8(documents: DataFrame) -> DataFrame:
@@ -235,3 +234,13 @@ def op8(documents: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next",
         F.when(asked, F.coalesce("n", F.lit(1)) - 1).alias("n_near"),
     )
+
+
+def op8_near(documents: DataFrame) -> DataFrame:
+    """fingerprint, near_fingerprint: of the documents that op8 counts for, and each other one within the radius.
+
+    The documents of a fingerprint are those that op8 gives it for.
+    """
+    made = materialize(with_next(documents), "fingerprints")
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return near_pairs(made.select("fp"), made.where(F.col("doc_id") % QUERY_STEP == 0).select("fp")).select(hexed("fp").alias("fingerprint"), hexed("near").alias("near_fingerprint"))

@@ -268,6 +268,23 @@ def test_near_counts_against_all_pairs(spark):
     assert got == {s: sum((a ^ b).bit_count() <= simhash.RADIUS for b in fps) for s, a in zip(signed, fps, strict=True)}
 
 
+def test_near_pairs_against_all_pairs(spark):
+    words = prose(6, 300).split()
+    texts = [" ".join([*words[:300], f"z{k // 2}"]) for k in range(60)] + [prose(30 + k, 40) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [simhash.fingerprint(t) for t in texts]
+    want = {(f"{fps[i]:016x}", f"{b:016x}") for i in range(0, len(fps), simhash.QUERY_STEP) for b in fps if 0 < (fps[i] ^ b).bit_count() <= simhash.RADIUS}
+    got = [tuple(r) for r in simhash.op8_near(df).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+    members = {}
+    for r in simhash.op8(df).collect():
+        members.setdefault(r.fingerprint, []).append(r)
+    for i in range(0, len(fps), simhash.QUERY_STEP):
+        own = f"{fps[i]:016x}"
+        near = sum(len(members[b]) for a, b in got if a == own)
+        assert {r.n_near for r in members[own] if r.doc_id == i} == {len(members[own]) - 1 + near}
+
+
 def test_classifiers_on_held_out_rows(spark, empty):
     load = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
     documents, labels = load("documents"), load("labels")
