@@ -535,23 +535,29 @@ class _Restored:
 
 
 class _Shipped:
-    """All columns, the text compressed, and the id under which the join knows the row."""
+    """All columns, the text compressed, the id under which the join knows the row, and whether it has neither id nor words."""
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             names = b.schema.names
             raw = b.column(names.index("text")).cast(pa.binary()).to_pylist()
-            ids = [NO_ID + int.from_bytes(xxh3_128_digest(t or b"")[:7], "big") if i is None else i for i, t in zip(b.column(names.index("doc_id")).to_pylist(), raw, strict=True)]
+            given = b.column(names.index("doc_id")).to_pylist()
+            ids = [NO_ID + int.from_bytes(xxh3_128_digest(t or b"")[:7], "big") if i is None else i for i, t in zip(given, raw, strict=True)]
+            bare = [i is None and not (t or b"").split() for i, t in zip(given, raw, strict=True)]
             cols = [pa.array([None if t is None else pack(t) for t in raw], pa.binary()) if c == "text" else b.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols], names=["kept_id", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bare, pa.bool_()), *cols], names=["kept_id", "kept_bare", *names])
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest id; rows that share an id are one document. Columns as given."""
+    """One row of each component, that of the smallest id; rows that share an id are one document. Columns as given.
+
+    Rows with neither an id nor words link with nothing and all stay.
+    """
     kept = classes(documents).where("id = component").select(F.col("id").alias("kept_id")).distinct()
     ddl = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in documents.schema)
-    rows = arrow_map(documents, _Shipped(), f"kept_id long, {ddl}").join(kept, "kept_id", "left_semi").dropDuplicates(["kept_id"]).drop("kept_id")
+    shipped = arrow_map(documents, _Shipped(), f"kept_id long, kept_bare boolean, {ddl}").withColumn("kept_bare", F.when(F.col("kept_bare"), F.monotonically_increasing_id()))
+    rows = shipped.join(kept, "kept_id", "left_semi").dropDuplicates(["kept_id", "kept_bare"]).drop("kept_id", "kept_bare")
     return arrow_map(rows, _Restored(documents.columns), documents.schema)
 
 

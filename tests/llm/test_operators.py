@@ -97,6 +97,13 @@ def test_jaccard_keeps_one(docs, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_jaccard_keeps_rows_without_id_and_words(spark):
+    rows = [(None, t, "en", "s", 0) for t in (None, None, "", "", " \n ", " \n ", "one two", "one two")] + [(4, "", "en", "s", 0), (4, "", "en", "s", 0), (5, None, "en", "s", 0)]
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, DOCS).repartition(3)).collect()]
+    want = [(None, None)] * 2 + [(None, "")] * 2 + [(None, " \n ")] * 2 + [(None, "one two"), (4, ""), (5, None)]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_decontamination_against_plain_search(spark, docs, empty):
     items = [(1, prose(9, 30)), (2, "one two"), (3, None), (4, "never there"), (5, " ".join(prose(3, 400).split()[50:70]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
