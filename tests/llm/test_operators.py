@@ -311,3 +311,43 @@ def test_pipeline(spark):
     assert ids <= {r.doc_id for r in docs.select("doc_id").collect()} and len(ids) == len(out) > 100
     assert all(r.round_trip for r in out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "sentencepiece"]
+
+
+def test_pipeline_against_plain_chain(spark, tmp_path):
+    import corpus_pipeline
+
+    source = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+    items = [(str(r.item_id), decontaminate.words_of((r.text or "").encode())) for r in source["benchmark"].collect()]
+    spelled = [b" ".join(w).decode() for _, w in items if len(w) > 8]
+    extra = [prose(1, 90), prose(1, 90), prose(1, 90) + " x", f"{prose(2, 30)} {spelled[0]} {prose(3, 30)}", f"{spelled[0]} and then {spelled[1]}", f"{prose(4, 9)} jo@mail.example.com {prose(5, 9)}", "", None]
+    added = spark.createDataFrame([(10_000_000 + i, t, "en", "s", len(t) if t else 0) for i, t in enumerate(extra)], source["documents"].schema)
+    for name, rows in (source | {"documents": source["documents"].unionByName(added)}).items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    documents = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = {r.doc_id for r in toxicity.op10(documents, source["labels"]).collect() if r.score < toxicity.THRESHOLD}
+    texts = {r.doc_id: r.text for r in documents.collect() if r.doc_id in clean}
+    groups = jaccard.brute_force(list(texts.items()))
+    windows = {}
+    for item, w in items:
+        n = min(8, len(w))
+        for i in range(len(w) - n + 1) if n else ():
+            windows.setdefault(tuple(w[i : i + n]), set()).add(item)
+    want, tagger, v = {}, pii.train(), pieces.load_vocabulary()
+    for i, text in texts.items():
+        if groups[i][1] != i:
+            continue
+        raw = (text or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20]+", raw.translate(decontaminate._WORD))]
+        words = decontaminate.words_of(raw)
+        hits = [(k, k + n, windows[g]) for n in {len(g) for g in windows} for k in range(len(words) - n + 1) if (g := tuple(words[k : k + n])) in windows]
+        if len(set().union(*(h for _, _, h in hits))) >= 2:
+            continue
+        gone = bytearray(len(raw))
+        for a, b, _ in hits:
+            gone[at[a][0] : at[b - 1][1]] = b"\1" * (at[b - 1][1] - at[a][0])
+        raw = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        base, more = pii.detect([raw], tagger)[0]
+        want[i] = list(pieces.stream(pieces.prepared(pii.masked(raw.decode(), [*base, *more])), v))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) > 100 and {r.doc_id: list(r.input_ids) for r in rows} == want
+    assert 10_000_000 in want and not {10_000_001, 10_000_002, 10_000_004} & set(want) and all(r.n_tokens == len(want[r.doc_id]) for r in rows)
