@@ -2,9 +2,14 @@
 
 Trees boosted on a bounded labelled sample yield their paths as conjunctive rules; a lasso logistic
 regression weighs the rules; what keeps a weight is compiled into one Spark column expression over the
-statistics, which are computed over whole texts, one pass and no shuffle. Null or empty texts have the
-statistics of the empty text and get a score like any other. Extra columns are ignored; repeated rows
-and ids give a row each; an empty table gives an empty result; without labels the score is 0.5.
+statistics, which are computed over whole texts, one pass and no shuffle. The sample's statistics are measured
+by the executors too; only those reach the driver.
+
+Null or empty texts have the statistics of the empty text and get a score like any other. A text of any length is
+one string in memory, with its words counted. Columns besides doc_id and text, whatever their names, are left out;
+repeated rows and ids give a row each; an empty table gives an empty result; without labels the score is 0.5. An id
+with several labels counts with the highest; ids that tie in the sample's order come by the id itself; of splits
+with equal gain the first statistic's lowest threshold is taken.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_map, as_bytes, labelled_sample, remainder
+from lodestone.llm.common import arrow_map, as_bytes, discard, labelled_sample, remainder
 from lodestone.llm.trees import Node, boost, sigmoid
 
 #: Labelled rows that the rules are learnt from, at most.
@@ -109,12 +114,10 @@ def lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
     return float(w[0]), w[1:]
 
 
-def fit(sample: list[tuple[bytes, int]], penalty: float = 5e-4) -> Rules:
-    """Rules from boosted trees, kept where the lasso gives them a weight."""
-    y = np.array([v for _, v in sample], float)
-    if len(set(y)) < 2:
-        return Rules({0: 0.0, 1: 2.0 * float(y.mean() if len(y) else 0.5) - 1.0}[min(1, len(y))], (), ())
-    x = np.array([statistics(t) for t, _ in sample])
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4) -> Rules:
+    """Rules from boosted trees over statistics and labels, kept where the lasso gives them a weight."""
+    if len(set(y.tolist())) < 2:  # no two labels to tell apart
+        return Rules(0.0 if not len(y) else 2.0 * float(y[0]) - 1.0, (), ())
     _, trees = boost(x, y, trees=40, depth=3, rate=0.3, bins=48)
     rules = list(dict.fromkeys(r for t in trees for r in paths(t)))
     made = np.stack([holds(r, x) for r in rules], 1).astype(float) if rules else np.zeros((len(x), 0))
@@ -126,19 +129,28 @@ def fit(sample: list[tuple[bytes, int]], penalty: float = 5e-4) -> Rules:
 def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = np.array([statistics(t) for t in as_bytes(b.column(1))], float).reshape(-1, len(STATISTICS))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, j]) for j in range(rows.shape[1]))], names=["doc_id", *STATISTICS])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, j]) for j in range(rows.shape[1]))], names=[b.schema.names[0], *STATISTICS])
+
+
+def measure(rows: DataFrame, key: str) -> DataFrame:
+    """The key and the statistics of each row's text."""
+    return arrow_map(rows.select(key, "text"), _measured, f"{key} {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
+
+
+def fit_on(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Rules:
+    sample = labelled_sample(documents, labels, "quality", 3, 1, sample_rows)
+    found = measure(sample.orderBy("doc_id"), "label").collect()  # at most `sample_rows` rows of numbers
+    discard(sample)
+    return fit(np.array([r[1:] for r in found], float).reshape(-1, len(STATISTICS)), np.array([r.label for r in found], float))
 
 
 def score(documents: DataFrame, rules: Rules) -> DataFrame:
     """doc_id, the statistics and ``score`` of each row."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    measured = arrow_map(documents.select("doc_id", "text"), _measured, f"doc_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
-    return measured.withColumn("score", rules.column())
+    return measure(documents, "doc_id").withColumn("score", rules.column())
 
 
 def op1(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted; learnt from rows whose crc32 modulo 3 is not 1."""
-    rules = fit(labelled_sample(documents, labels, "quality", 3, 1, sample_rows))
-    return score(documents, rules).select(
+    return score(documents, fit_on(documents, labels, sample_rows)).select(
         "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
