@@ -2,28 +2,36 @@
 
 A conversation's turns, ordered by turn, then role and text where turns tie, are rendered into one string by
 a template whose control strings are escaped in texts and roles, reversibly. The string is encoded once with
-offsets; turn spans and token spans, both sorted, are intersected by binary search, which yields the loss
-mask over tokens and, clipped, over characters. Null roles and texts count as empty; rows with a null
-conv_id form one conversation; repeated rows are turns of their own; an empty table gives an empty result.
-Rows are dealt by conversation and streamed in order, so that a task holds one conversation at a time.
+offsets: tokens of a byte-level vocabulary spell the text byte by byte, so that their lengths sum to their
+offsets, in bytes and then in code points. Turn spans and token spans, both sorted, are intersected by binary
+search, which yields the loss mask over tokens and, clipped, over characters.
+
+Null roles and texts count as empty; rows with a null conv_id form one conversation; repeated rows are turns of
+their own; an empty table gives an empty result; columns besides conv_id, turn, role and text, whatever their names,
+are left out. Rows are dealt by conversation and streamed in order: a task holds one conversation at a time, which
+is one string however long, as is each of its texts.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map
 
-#: The default vocabulary file's name in the tokenizers' folder.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: The default vocabulary file: a line for each token, its bytes in base 64 and its id.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the expression by which that vocabulary parts a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LOSS_ROLE = "assistant"
 OPEN, NEXT, CLOSE = "### ", ": ", "</turn>\n"
 
@@ -63,52 +71,69 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def token_mask(tokens: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[list[bool], list[tuple[int, int]]]:
-    """A mask over tokens and the masked characters as merged spans, by binary search in the sorted token spans.
+class Tokenizer:
+    """A byte-level vocabulary that gives ids and the offsets of their ends."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each token's start and end in code points; a token of a sign's part has that sign's span."""
+        ids = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        ends = np.cumsum(self.size[ids])
+        if text.isascii():
+            return ids, ends - self.size[ids], ends
+        first = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80  # bytes that begin a sign
+        before = np.r_[0, np.cumsum(first)]
+        begun = before[ends - self.size[ids]]
+        return ids, begun - (~first[np.minimum(ends - self.size[ids], len(first) - 1)]).astype(np.int64), before[ends]
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str, pattern: str) -> Tokenizer:
+    """One for all tasks of a worker."""
+    return Tokenizer(path, pattern)
+
+
+def token_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A mask over tokens and the masked characters as spans, by binary search in the sorted token spans.
 
     Tokens that share a character (parts of one encoded sign) are masked together; a token that reaches over a
-    border of a span is masked, but only its part inside counts as characters.
+    border of a span is masked, but only its part inside counts as characters. Tokens leave no gaps.
     """
-    ends = [e for _, e in tokens]
-    mask, chars = [False] * len(tokens), []
-    for start, end in spans:
-        i = bisect_left(ends, start + 1)
-        inside: list[list[int]] = []
-        while i < len(tokens) and tokens[i][0] < end:
-            mask[i] = True
-            a, b = max(start, tokens[i][0]), min(end, tokens[i][1])
-            if inside and a <= inside[-1][1]:
-                inside[-1][1] = max(inside[-1][1], b)
-            elif a < b:
-                inside.append([a, b])
-            i += 1
-        chars += [(a, b) for a, b in inside]
-    return mask, chars
+    mask = np.zeros(len(ends), bool)
+    if not spans:
+        return mask, []
+    a, b = np.array(spans, np.int64).T
+    low, high = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
+    out = []
+    for i, j, start, end in zip(low.tolist(), high.tolist(), a.tolist(), b.tolist(), strict=True):
+        if i < j:
+            mask[i:j] = True
+            out.append((max(start, int(starts[i])), min(end, int(ends[j - 1]))))
+    return mask, out
 
 
 @dataclass
 class Formatter:
-    """Loads the vocabulary once a worker; its path is a parameter."""
+    """The vocabulary's path and expression are parameters."""
 
     vocabulary: str = VOCABULARY
+    pattern: str = PATTERN
     loss_role: str = LOSS_ROLE
 
-    def tokenizer(self):  # noqa: ANN201
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(self.vocabulary)
-        found.encode_special_tokens = True
-        return found
-
-    def format(self, turns: list[tuple[str, str]], tokenizer) -> tuple[str, list[int], list[bool], list[tuple[int, int]]]:  # noqa: ANN001
+    def format(self, turns: list[tuple[str, str]]) -> tuple[str, np.ndarray, np.ndarray, list[tuple[int, int]]]:
         """Formatted string, token ids, mask over tokens, masked spans of characters."""
         formatted, spans = render(turns)
-        encoding = tokenizer.encode(formatted, add_special_tokens=False)
-        mask, chars = token_mask(encoding.offsets, [(a, b) for a, b, role in spans if role == self.loss_role and a < b])
-        return formatted, encoding.ids, mask, chars
+        ids, starts, ends = tokenizer(self.vocabulary, self.pattern).encode(formatted)
+        mask, chars = token_mask(starts, ends, [(a, b) for a, b, role in spans if role == self.loss_role and a < b])
+        return formatted, ids, mask, chars
 
 
 def conversations_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
@@ -125,56 +150,69 @@ def conversations_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object
         yield key, turns
 
 
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
 class _Formatted:
     def __init__(self, formatter: Formatter, conv_type: pa.DataType) -> None:
         self.formatter, self.conv_type = formatter, conv_type
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = self.formatter.tokenizer()
         rows: list[tuple] = []
         held = 0
         for conv, turns in conversations_in(batches):
-            formatted, ids, mask, chars = self.formatter.format(turns, tokenizer)
-            rows.append((conv, formatted, ids, mask, [{"start": a, "end": b} for a, b in chars]))
-            held += len(formatted)
+            rows.append((conv, *self.formatter.format(turns)))
+            held += len(rows[-1][1])
             if held > 1 << 20:
                 yield self._batch(rows)
                 rows, held = [], 0
         yield self._batch(rows)
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        kinds = [self.conv_type, pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(span)]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"])
+        conv, formatted, ids, mask, chars = zip(*rows, strict=True) if rows else [()] * 5
+        lists = lambda found, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else [], kind))
+        spans = pa.array([[{"start": a, "end": b} for a, b in c] for c in chars], pa.list_(_SPAN))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(conv, self.conv_type), pa.array(formatted, pa.string()), lists(ids, pa.int32()), lists(mask, pa.bool_()), spans],
+            names=["conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"],
+        )
 
 
-def format_conversations(conversations: DataFrame, formatter: Formatter | None = None) -> DataFrame:
-    """conv_id, formatted, input_ids, loss_mask and loss_spans (characters) of each conversation."""
+class _Digested:
+    """What is read back from each formatted conversation, in the pass that formats it."""
+
+    def __init__(self, formatted: _Formatted) -> None:
+        self.formatted = formatted
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in self.formatted(batches):
+            out = []
+            for formatted, spans in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+                turns = parse(formatted)
+                every = "".join(f"{role}\n{text}\n" for role, text in turns)
+                loss = "".join(unescape(formatted[s["start"] : s["end"]]) for s in spans)
+                out.append((len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            )
+
+
+def _laid(conversations: DataFrame, formatter: Formatter | None) -> tuple[DataFrame, _Formatted, str]:
+    """Turns by conversation and in order, what formats them, and the type of the id."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = conversations.schema["conv_id"].dataType
     rows = conversations.select("conv_id", "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return arrow_map(
-        rows.select("conv_id", "role", "text"), _Formatted(formatter or Formatter(), to_arrow_type(kind)),
-        f"conv_id {kind.simpleString()}, formatted string, input_ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:bigint,end:bigint>>",
-    )
+    return rows.select("conv_id", "role", "text"), _Formatted(formatter or Formatter(), to_arrow_type(kind)), kind.simpleString()
 
 
-def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for formatted, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            turns = parse(formatted)
-            every = "".join(f"{role}\n{text}\n" for role, text in turns)
-            loss = "".join(unescape(x) for x in [formatted[s["start"] : s["end"]] for s in spans])
-            out.append((len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-        )
+def format_conversations(conversations: DataFrame, formatter: Formatter | None = None) -> DataFrame:
+    """conv_id, formatted, input_ids, loss_mask and loss_spans (characters) of each conversation."""
+    rows, made, kind = _laid(conversations, formatter)
+    return arrow_map(rows, made, f"conv_id {kind}, formatted string, input_ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:bigint,end:bigint>>")
 
 
 def op2(conversations: DataFrame, formatter: Formatter | None = None) -> DataFrame:
@@ -184,8 +222,8 @@ def op2(conversations: DataFrame, formatter: Formatter | None = None) -> DataFra
     kind = conversations.schema["conv_id"].dataType.simpleString()
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     every = conversations.select("conv_id", "turn", "role", "text").unionByName(extra.withColumn("conv_id", F.col("conv_id").cast(kind)))
-    done = format_conversations(every, formatter).select("conv_id", "formatted", "loss_spans")
-    return arrow_map(done, _digested, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows, made, _ = _laid(every, formatter)
+    return arrow_map(rows, _Digested(made), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sql() -> str:
