@@ -7,17 +7,23 @@ host beside an at-sign, are covered by overlapping windows; every span that is a
 nothing else can hold a span, and one of an address is widened to the whole of its name and host. Windows
 are decoded by Viterbi, each position takes its tag from the window whose middle is nearest, and the document's
 tag sequence is read into spans. Spans of the network stand where they pass their kind's check (digits, Luhn,
-octets, at-sign) and touch no base span. Null texts count as empty; one pass, no shuffle; repeated rows give a
-row each; an empty table gives an empty result; columns besides text and n_chars pass through.
+octets, at-sign) and touch no base span.
+
+Null texts count as empty; repeated rows give a row each; an empty table gives an empty result. ``op7`` leaves out
+columns besides doc_id and text, whatever their names; ``mask`` gives back all columns, with text and n_chars to match.
+A text of any length is one string in memory with two bytes beside it for each character; its windows are tagged some
+thousand at a time. Where two windows' middles are equally near, the earlier window's tag stands. One pass, no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 from random import Random
 
 import numpy as np
@@ -33,6 +39,8 @@ TAGS = 2 * len(KINDS) + 1
 #: Width of a window, distance of windows, and characters around a digit or at-sign that are covered.
 WINDOW, STRIDE, MARGIN = 64, 32, 24
 HIDDEN, STEPS, BATCH, SEED = 16, 240, 64, 11
+#: Windows that are tagged together.
+TAGGED = 2048
 #: Labelled windows that training draws its batches from.
 LABELLED = 4000
 
@@ -310,11 +318,11 @@ def windows_of(text: str) -> list[tuple[int, int]]:
     return [(i, min(i + WINDOW, b)) for a, b in regions for i in range(a, max(a + 1, b - STRIDE), STRIDE)]
 
 
-def spans_of(tags: dict[int, int], order: list[int]) -> list[tuple[str, int, int]]:
-    """Spans of a document's tags by position; positions without a tag are outside."""
+def spans_of(tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """Spans of a document's tags by position; where no window reaches the tag is 0."""
     found, kind, start, last = [], -1, 0, -2
-    for at in [*order, -9]:
-        tag = tags.get(at, 0)
+    for at in [*np.flatnonzero(tags).tolist(), -9]:
+        tag = int(tags[at]) if at >= 0 else 0
         here = (tag - 1) // 2 if tag else -1
         if kind >= 0 and (here != kind or tag % 2 == 1 or at != last + 1):
             found.append((KINDS[kind], start, last + 1))
@@ -325,14 +333,29 @@ def spans_of(tags: dict[int, int], order: list[int]) -> list[tuple[str, int, int
     return found
 
 
-def widened(text: str, a: int, b: int, taken: list[tuple[str, int, int]]) -> tuple[int, int]:
+class _Taken:
+    """The base spans of a text; ``end_before(b)`` is how far those that begin before ``b`` reach."""
+
+    def __init__(self, spans: Iterable[tuple[str, int, int]]) -> None:
+        found = sorted((a, b) for _, a, b in spans)
+        self.starts, self.reach = [a for a, _ in found], list(accumulate((b for _, b in found), max))
+
+    def end_before(self, b: int) -> int:
+        k = bisect_left(self.starts, b)
+        return self.reach[k - 1] if k else 0
+
+    def next_start(self, b: int, last: int) -> int:
+        k = bisect_left(self.starts, b)
+        return self.starts[k] if k < len(self.starts) else last
+
+
+def widened(text: str, a: int, b: int, taken: _Taken) -> tuple[int, int]:
     """A span of an address up to the ends of its name and host, or to the base spans beside it."""
     at = text.find("@", a, b)
-    if at < 0 or any(s < b and a < e for _, s, e in taken):
+    if at < 0 or taken.end_before(b) > a:
         return a, b
     host = _HOST.match(text, at + 1)
-    low, high = max((e for _, _, e in taken if e <= a), default=0), min((s for _, s, _ in taken if s >= b), default=len(text))
-    return _name_start(text, a, low), max(b, min(high, host.end())) if host else b
+    return _name_start(text, a, taken.end_before(b)), max(b, min(taken.next_start(b, len(text)), host.end())) if host else b
 
 
 def accepted(kind: str, text: str) -> bool:
@@ -349,47 +372,63 @@ def accepted(kind: str, text: str) -> bool:
     return 9 <= n <= 15 and text[-1].isdigit() and not re.search(r"[^0-9() +.\-]", text) and not re.fullmatch(r"[0-9]+", text)
 
 
+def _tagged(held: list[tuple[str, list[tuple[int, int]]]], tagger: Tagger) -> list[np.ndarray]:
+    """The tags of each text by position, each from the window whose middle is nearest."""
+    tags = [np.zeros(len(text), np.int8) for text, _ in held]
+    nearest = [np.full(len(text), WINDOW, np.uint8) for text, _ in held]  # twice the distance from that window's middle
+    every = [(i, a, b) for i, (_, found) in enumerate(held) for a, b in found]
+    for k in range(0, len(every), TAGGED):
+        some = every[k : k + TAGGED]
+        x = np.full((len(some), WINDOW), 32, np.int64)
+        for j, (i, a, b) in enumerate(some):
+            x[j, : b - a] = codes(held[i][0][a:b])
+        for (i, a, b), row in zip(some, tagger.decode(x), strict=True):
+            far = np.abs(2 * np.arange(b - a) - (b - a - 1)).astype(np.uint8)
+            better = far < nearest[i][a:b]
+            nearest[i][a:b][better] = far[better]
+            tags[i][a:b][better] = row[: b - a][better]
+    return tags
+
+
 def detect(texts: list[bytes], tagger: Tagger) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """For each text: base spans, and those that the network adds; code points, by kind and then start."""
-    held: list[tuple[int, str, list[tuple[int, int]]]] = []
     out: list[tuple[list, list]] = []
+    held: list[tuple[str, list[tuple[int, int]]]] = []
+    owner: list[int] = []
     for i, raw in enumerate(texts):
         base = base_spans(raw)
         if base and not raw.isascii():
-            base = [(k, len(raw[:a].decode(errors="replace")), len(raw[:b].decode(errors="replace"))) for k, a, b in base]
+            where = code_point_of(raw, {x for _, a, b in base for x in (a, b)})
+            base = [(k, where[a], where[b]) for k, a, b in base]
         out.append((base, []))
         text = raw.decode(errors="replace")
         if found := windows_of(text):
-            held.append((i, text, found))
-    every = [(i, a, b, text) for i, text, found in held for a, b in found]
-    tags: dict[int, dict[int, tuple[float, int]]] = {}
-    for k in range(0, len(every), 2048):
-        some = every[k : k + 2048]
-        x = np.full((len(some), WINDOW), 32, np.int64)
-        for j, (_, a, b, text) in enumerate(some):
-            x[j, : b - a] = codes(text[a:b])
-        for (i, a, b, _), row in zip(some, tagger.decode(x).tolist(), strict=True):
-            own, middle = tags.setdefault(i, {}), (a + b - 1) / 2
-            for p in range(a, b):
-                far = abs(p - middle)
-                if p not in own or far < own[p][0]:
-                    own[p] = far, row[p - a]
-    for i, text, _ in held:
-        own = {p: tag for p, (_, tag) in tags[i].items()}
-        taken = out[i][0]
-        for kind, a, b in spans_of(own, sorted(own)):
+            held.append((text, found))
+            owner.append(i)
+    for i, (text, _), tags in zip(owner, held, _tagged(held, tagger), strict=True):
+        taken = _Taken(out[i][0])
+        for kind, a, b in spans_of(tags):
             while a < b and text[a].isspace():
                 a += 1
             while a < b and text[b - 1].isspace():
                 b -= 1
             if kind == "email":
                 a, b = widened(text, a, b, taken)
-            if a < b and accepted(kind, text[a:b]) and all(b <= s or e <= a for _, s, e in taken):
+            if a < b and accepted(kind, text[a:b]) and taken.end_before(b) <= a:
                 out[i][1].append((kind, a, b))
         out[i][1].sort(key=lambda s: (KINDS.index(s[0]), s[1]))
     return out
 
 
+def code_point_of(raw: bytes, ends: set[int]) -> dict[int, int]:
+    """Byte offsets at which a character begins, as code points, in one pass over the text."""
+    seen, at, where = 0, 0, {}
+    for x in sorted(ends):
+        seen += len(raw[at:x].decode(errors="replace"))
+        at, where[x] = x, seen
+    return where
+
+
 class _Found:
     def __init__(self, tagger: Tagger) -> None:
         self.tagger = tagger
