@@ -1,15 +1,20 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search over a given vocabulary.
 
 A text, with spaces written as U+2581 and one put before it, is cut into the pieces whose scores sum highest;
-characters without a piece cost the lowest score less ten and fall back to byte pieces. The search keeps a
-window bounded by the longest piece and commits ids whenever all surviving paths meet at one boundary. Where
-no piece continues over the start of a word every path meets there, so words are committed one by one and the
-search runs over distinct words side by side; words too long for that stream one character at a time. A
-literal U+2581 in a text counts as a character without a piece, so that decoding gives back every text exactly.
-
-The vocabulary file's path is a parameter; the model's scores are used as they are, also those of a BPE model
-(whose ids may then differ from the library's merges), and tokenizers are never trained. Null texts count as
-empty and have no ids; repeated rows give a row each; an empty table gives an empty result.
+characters without a piece cost the lowest score less ten and fall back to byte pieces. The search takes one
+character at a time. It keeps a window of the boundaries at which a piece has begun that may still go on, so at most
+as many as the longest piece has characters, and commits ids when all paths to these and to the last boundary meet in
+one. Where no piece goes on from one character to the next, as over the start of a word, all paths meet at once and
+the search stands as at its beginning; so the ids between two such boundaries depend on the characters there alone, and
+those of words, and of the parts that a word has, are remembered once they were searched. Of equal paths the one with the longer last piece wins; scores are sums of whole multiples of 2 to
+the -24th, so that equal is exact.
+
+A literal U+2581 in a text counts as a character without a piece, so that decoding gives back every text exactly.
+The vocabulary file's path is a parameter; the model's scores are used as they are, also those of a BPE model (whose
+ids may then differ from the library's merges), and tokenizers are never trained. Null texts count as empty and have
+no ids; repeated rows give a row each; an empty table gives an empty result. Other columns pass through; new ones must
+have unused names. A text of any length is one string in memory with its ids; what the search holds beside it is the
+window and the steps of paths since the last boundary where all met.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -25,43 +31,50 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_map
+from lodestone.llm.common import arrow_map, ddl
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is cut; no valid text holds it.
 _LITERAL = "\ud800"
-#: What a character without a piece costs beyond the lowest score.
-UNKNOWN_PENALTY = 10.0
-#: Characters of a word that is searched side by side with others; longer ones stream.
-SHORT = 32
-#: Words whose ids a task remembers.
-REMEMBERED = 250_000
+#: What a character without a piece costs beyond the lowest score, and the unit of scores.
+UNKNOWN_PENALTY, UNIT = 10.0, 1 << 24
+#: Words, and parts of words, whose ids a task remembers.
+REMEMBERED = 400_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Vocabulary:
-    pieces: dict[str, tuple[int, float]]
+    """Pieces with id and score, in units, also as a tree by characters; "" leads to a piece that ends there."""
+
+    pieces: dict[str, tuple[int, int]]
+    tree: dict
+    pairs: frozenset[str]  # neighbouring characters in pieces
     as_bytes: list[bytes]
-    as_text: list[str]
     byte_ids: list[int]
-    unknown: float
+    unknown: int
     longest: int
     by_word: bool
 
     @classmethod
     def of(cls, found: list[tuple[str, float, str]]) -> Vocabulary:
         """From (piece, score, kind) by id; kind is normal, byte or control."""
-        normal = {p: (i, s) for i, (p, s, k) in enumerate(found) if k == "normal"}
+        normal = {p: (i, round(s * UNIT)) for i, (p, s, k) in enumerate(found) if k == "normal" and p}
         byte_ids = [0] * 256
         for i, (p, _, k) in enumerate(found):
             if k == "byte":
                 byte_ids[int(p[3:5], 16)] = i
+        tree: dict = {}
+        for p, own in normal.items():
+            node = tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = own
         raw = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(SPACE, " ").encode() if k == "normal" else b"" for p, _, k in found]
-        lowest = min((s for _, s in normal.values()), default=0.0)
-        return cls(normal, raw, [p for p, _, _ in found], byte_ids, lowest - UNKNOWN_PENALTY, max(map(len, normal), default=1), not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal))
+        lowest = min((s for _, s in normal.values()), default=0)
+        pairs = frozenset(p[i : i + 2] for p in normal for i in range(len(p) - 1))
+        return cls(normal, tree, pairs, raw, byte_ids, lowest - round(UNKNOWN_PENALTY * UNIT), max(map(len, normal), default=1), not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal))
 
 
 @lru_cache(maxsize=4)
@@ -78,155 +91,100 @@ def prepared(text: str) -> str:
 
 
 def fallback(c: str, v: Vocabulary) -> list[int]:
-    return [v.byte_ids[b] for b in (SPACE if c == _LITERAL else c).encode()]
+    return [v.byte_ids[b] for b in {_LITERAL: SPACE, SPACE: " "}.get(c, c).encode()]
 
 
 def stream(text: Iterable[str], v: Vocabulary) -> Iterator[int]:
-    """Ids of a prepared text given by characters. Of equal paths the one with the longer last piece wins."""
-    window: list[str] = []  # characters since the last committed boundary
-    best: list[float] = [0.0]  # by boundary, 0 being the committed one
-    back: list[int] = [0]
+    """Ids of a prepared text given by characters, committed when all paths that are left meet.
+
+    ``begun`` is the window: boundaries from which a piece may still go on, and how far in the tree it has come. Where
+    none is, all paths meet at the last boundary. Else the paths are walked back to where they meet, each time that
+    the stretch since the last commit has doubled, so that walking costs a constant share.
+    """
+    tree, unknown = v.tree, v.unknown
+    begun: list[tuple[int, dict]] = []
+    score, before, piece = [0], [0], [""]  # by boundary since the last commit: of its best path, and that path's last step
+    due = 2 * v.longest
     for c in text:
-        window.append(c)
-        j = len(window)
-        top, first = -np.inf, j - 1
-        for i in range(max(0, j - v.longest), j):
-            got = v.pieces.get("".join(window[i:j]))
-            score = got[1] if got else v.unknown if i == j - 1 else None
-            if score is not None and best[i] + score > top:
-                top, first = best[i] + score, i
-        best.append(top)
-        back.append(first)
-        if j % v.longest == 0:
-            meet = _meeting(back, max(0, j + 1 - v.longest), j)
-            if meet:
-                yield from _ids(window, back, meet, v)
-                window, best = window[meet:], [x - best[meet] for x in best[meet:]]
-                back = [0, *(max(0, b - meet) for b in back[meet + 1 :])]
-    yield from _ids(window, back, len(window), v)
-
-
-def _meeting(back: list[int], low: int, high: int) -> int:
-    """The last boundary that lies on the paths of all boundaries from which a next piece can begin."""
-    live = set(range(low, high + 1))
-    while len(live) > 1:
-        most = max(live)
-        live.remove(most)
-        live.add(back[most])
-    return live.pop()
-
-
-def _ids(window: list[str], back: list[int], end: int, v: Vocabulary) -> list[int]:
-    out: list[list[int]] = []
+        last = len(score) - 1
+        begun.append((last, tree))
+        going = []
+        top, first, own, alone = -inf, last, c, True
+        for b, node in begun:
+            node = node.get(c)
+            if node is not None:
+                going.append((b, node))
+                if "" in node:
+                    i, s = node[""]
+                    s += score[b]
+                    if s > top:
+                        top, first, own = s, b, i
+                    if b == last:
+                        alone = False
+        if alone and score[last] + unknown > top:
+            top, first, own = score[last] + unknown, last, c
+        begun = going
+        score.append(top)
+        before.append(first)
+        piece.append(own)
+        if begun and len(score) <= due:
+            continue
+        end = last + 1
+        meet = _meeting(before, [*(b for b, _ in begun), end]) if begun else end
+        if meet:
+            yield from _steps(before, piece, meet, v)
+            score, before, piece = score[meet:], [0, *(x - meet for x in before[meet + 1 :])], piece[meet:]
+            begun = [(b - meet, node) for b, node in begun]
+        due = 2 * max(v.longest, len(score))
+    yield from _steps(before, piece, len(score) - 1, v)
+
+
+def _meeting(before: list[int], live: list[int]) -> int:
+    """The last boundary that lies on the best paths of all living boundaries (in order)."""
+    heads = set(live)
+    while len(heads) > 1:
+        most = max(heads)
+        heads.remove(most)
+        heads.add(before[most])
+    return heads.pop()
+
+
+def _steps(before: list[int], piece: list, end: int, v: Vocabulary) -> list[int]:
+    """The ids of the best path to a boundary."""
+    path = []
     while end:
-        start = back[end]
-        got = v.pieces.get("".join(window[start:end]))
-        out.append([got[0]] if got else fallback(window[start], v))
-        end = start
+        path.append(piece[end])
+        end = before[end]
+    out: list[int] = []
+    for p in reversed(path):
+        out += fallback(p, v) if isinstance(p, str) else (p,)
+    return out
+
+
+def brute_force(text: str, v: Vocabulary) -> list[int]:
+    """Ids by a search over the whole text with all boundaries kept; for tests."""
+    t = prepared(text)
+    best: list[tuple[int, int, object]] = [(0, 0, None)]
+    for j in range(1, len(t) + 1):
+        ways = [(best[i][0] + v.pieces[t[i:j]][1], i, v.pieces[t[i:j]][0]) for i in range(j) if t[i:j] in v.pieces]
+        if t[j - 1] not in v.pieces:
+            ways.append((best[j - 1][0] + v.unknown, j - 1, t[j - 1]))
+        best.append(max(ways, key=lambda w: (w[0], -w[1])))
+    out, j = [], len(t)
+    while j:
+        _, i, piece = best[j]
+        out.append(fallback(piece, v) if isinstance(piece, str) else [piece])
+        j = i
     return [i for ids in reversed(out) for i in ids]
 
 
 class Encoder:
-    """Encodes texts word by word; distinct new words of a batch are searched side by side in numpy."""
+    """Streams texts through the search; what lies between two boundaries that no piece goes over is remembered."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
         self.known: dict[str, bytes] = {}  # by word without the U+2581 before it
-        self.powers = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(SHORT, _BASE, np.uint64)])
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in range(1, min(v.longest, SHORT) + 1):
-            some = [(p, i, s) for p, (i, s) in v.pieces.items() if len(p) == size]
-            if some:
-                h = self._prefix(self._codes([p for p, _, _ in some], size))[size]
-                order = np.argsort(h)
-                self.tables[size] = h[order], np.array([i for _, i, _ in some], np.int32)[order], np.array([s for _, _, s in some])[order]
-        self.seen = {size: self._marks(h) for size, (h, _, _) in self.tables.items()}
-
-    @staticmethod
-    def _marks(h: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << 18, bool)
-        out[h >> np.uint64(46)] = True
-        return out
-
-    @staticmethod
-    def _codes(words: list[str], width: int) -> np.ndarray:
-        """Characters by position and word, 0 beyond a word's end."""
-        out = np.zeros((width, len(words)), np.uint64)
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.array([len(w) for w in words])
-        out[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), np.repeat(np.arange(len(words)), size)] = flat
-        return out
-
-    @staticmethod
-    def _prefix(codes: np.ndarray) -> np.ndarray:
-        h = np.zeros((len(codes) + 1, codes.shape[1]), np.uint64)
-        mixed = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        for j in range(len(codes)):
-            h[j + 1] = h[j] * _BASE + mixed[j]
-        return h
-
-    def _search(self, words: list[str]) -> None:
-        """Viterbi over many short words at once, by end position; longer words come first."""
-        words.sort(key=len, reverse=True)
-        full = [SPACE + w for w in words]
-        size = np.array([len(w) for w in full])
-        width = int(size[0])
-        h = self._prefix(self._codes(full, width))
-        best = np.full((width + 1, len(words)), -np.inf)
-        best[0] = 0
-        back, piece = np.zeros((width + 1, len(words)), np.int8), np.full((width + 1, len(words)), -1, np.int32)
-        for j in range(1, width + 1):
-            n = int(np.searchsorted(-size, -j, side="right"))
-            top, first, own = best[j - 1, :n] + self.v.unknown, np.full(n, j - 1, np.int8), np.full(n, -1, np.int32)
-            for k in range(1, min(j, self.v.longest) + 1):
-                if k not in self.tables:
-                    continue
-                q = h[j, :n] - h[j - k, :n] * self.powers[k]
-                maybe = np.flatnonzero(self.seen[k][q >> np.uint64(46)])
-                if not len(maybe):
-                    continue
-                hashes, ids, scores = self.tables[k]
-                asked = q[maybe]
-                at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
-                sure = hashes[at] == asked
-                rows, at = maybe[sure], at[sure]
-                total = best[j - k, rows] + scores[at]
-                if k > 1:
-                    better = total >= top[rows]
-                    rows, at, total = rows[better], at[better], total[better]
-                top[rows], first[rows], own[rows] = total, j - k, ids[at]
-            best[j, :n], back[j, :n], piece[j, :n] = top, first, own
-        self._trace(words, full, size, back, piece)
-
-    def _trace(self, words: list[str], full: list[str], size: np.ndarray, back: np.ndarray, piece: np.ndarray) -> None:
-        """Walk all paths back together; the few words with a character that has no piece are spelled out singly."""
-        end, row, steps = size.copy(), np.arange(len(words)), []
-        plain = np.ones(len(words), bool)
-        live = row
-        while len(live):
-            at = end[live]
-            got = piece[at, live]
-            plain[live[got < 0]] = False
-            steps.append((live, got))
-            end[live] = back[at, live]
-            live = live[end[live] > 0]
-        count = np.bincount(np.concatenate([r for r, _ in steps]), minlength=len(words))
-        flat, stop = np.empty(count.sum(), np.int32), np.cumsum(count)
-        for k, (r, got) in enumerate(steps):
-            flat[stop[r] - 1 - k] = got
-        raw, ends = flat.tobytes(), (4 * stop).tolist()
-        start = 0
-        for w, stop_at in zip(words, ends, strict=True):
-            self.known[w] = raw[start:stop_at]
-            start = stop_at
-        starts = [0, *ends]
-        for i in np.flatnonzero(~plain).tolist():
-            out, at = [], 0
-            for x in flat[starts[i] // 4 : starts[i + 1] // 4].tolist():
-                out += [x] if x >= 0 else fallback(full[i][at], self.v)
-                at += len(self.v.as_text[x]) if x >= 0 else 1
-            self.known[words[i]] = np.array(out, np.int32).tobytes()
+        self.parts: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str]:
         """The words of a text, each without the U+2581 before it."""
@@ -234,21 +192,27 @@ class Encoder:
         words = text.split(" ")
         return words if "" not in words else [w[1:] for w in _WORDS.findall(SPACE + text.replace(" ", SPACE))] if text else []
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            got = self.parts[part] = np.fromiter(stream(part, self.v), np.int32).tobytes()
+        return got
+
+    def _word(self, word: str) -> bytes:
+        got = self.known.get(word)
+        if got is None:
+            whole, pairs = SPACE + word, self.v.pairs
+            cuts = [i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in pairs]
+            got = self.known[word] = b"".join([self._part(whole[a:b]) for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)])
+        return got
+
+    def encode(self, text: str) -> np.ndarray:
         if not self.v.by_word:
-            return [np.fromiter(stream(prepared(t), self.v), np.int32) for t in texts]
-        words = [self._cut(t) for t in texts]
-        new = set().union(*words).difference(self.known) if words else set()
-        short = [w for w in new if len(w) < SHORT]
-        for k in range(0, len(short), 20_000):
-            self._search(short[k : k + 20_000])
-        for w in new:
-            if len(w) >= SHORT:
-                self.known[w] = np.fromiter(stream(SPACE + w, self.v), np.int32).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, some)), np.int32) for some in words]
+            return np.fromiter(stream(prepared(text), self.v), np.int32)
+        for memory in (self.known, self.parts):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        return np.frombuffer(b"".join(map(self._word, self._cut(text))), np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -263,21 +227,21 @@ def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
 
 
 class _Encoded:
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, text: int, into: str) -> None:
+        self.path, self.text, self.into = path, text, into
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(self.path)
         for b in batches:
-            ids = own.encode([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+            ids = [own.encode(t or "") for t in b.column(self.text).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[*b.schema.names, "input_ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[*b.schema.names, self.into])
 
 
 class _Decoded:
-    def __init__(self, path: str, ids: int) -> None:
-        self.path, self.ids = path, ids
+    def __init__(self, path: str, ids: int, into: str) -> None:
+        self.path, self.ids, self.into = path, ids, into
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(load_vocabulary(self.path).as_bytes, pa.binary())
@@ -285,38 +249,41 @@ class _Decoded:
             ids = b.column(self.ids)
             spelled = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, table.take(ids.values)), b"")
             texts = [(x or b"").removeprefix(b" ").decode(errors="replace") for x in spelled.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, self.into])
 
 
 class _Both:
     """Encoding and decoding in one pass over the rows."""
 
-    def __init__(self, path: str, ids: int) -> None:
-        self.path, self.ids = path, ids
+    def __init__(self, encoded: _Encoded, decoded: _Decoded) -> None:
+        self.encoded, self.decoded = encoded, decoded
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _Decoded(self.path, self.ids)(_Encoded(self.path)(batches))
+        return self.decoded(self.encoded(batches))
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def _new(df: DataFrame, *names: str) -> None:
+    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"there is a column {sorted(taken)[0]} already; name another")
 
 
-def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``documents``, text last, with ``input_ids``."""
-    rows = documents.select(*[c for c in documents.columns if c not in ("text", "input_ids")], "text")
-    return arrow_map(rows, _Encoded(path), _ddl(rows) + ", input_ids array<int>")
+def encode(documents: DataFrame, path: str = VOCABULARY, ids: str = "input_ids") -> DataFrame:
+    """``documents`` with the ids of their texts."""
+    _new(documents, ids)
+    return arrow_map(documents, _Encoded(path, documents.columns.index("text"), ids), f"{ddl(documents)}, `{ids}` array<int>")
 
 
-def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """Rows with input_ids, and ``decoded``."""
-    return arrow_map(encoded, _Decoded(path, encoded.columns.index("input_ids")), _ddl(encoded) + ", decoded string")
+def decode(encoded: DataFrame, path: str = VOCABULARY, ids: str = "input_ids", decoded: str = "decoded") -> DataFrame:
+    """Rows with the text that their ids spell."""
+    _new(encoded, decoded)
+    return arrow_map(encoded, _Decoded(path, encoded.columns.index(ids), decoded), f"{ddl(encoded)}, `{decoded}` string")
 
 
-def round_trip(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``documents``, text last, with ``input_ids`` and ``decoded``."""
-    rows = documents.select(*[c for c in documents.columns if c not in ("text", "input_ids", "decoded")], "text")
-    return arrow_map(rows, _Both(path, len(rows.columns)), _ddl(rows) + ", input_ids array<int>, decoded string")
+def round_trip(documents: DataFrame, path: str = VOCABULARY, ids: str = "input_ids", decoded: str = "decoded") -> DataFrame:
+    """``documents`` with the ids of their texts and what these spell."""
+    _new(documents, ids, decoded)
+    both = _Both(_Encoded(path, documents.columns.index("text"), ids), _Decoded(path, len(documents.columns), decoded))
+    return arrow_map(documents, both, f"{ddl(documents)}, `{ids}` array<int>, `{decoded}` string")
 
 
 def op5(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
