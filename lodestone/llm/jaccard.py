@@ -15,10 +15,14 @@ memory; a cell that no pivot parts is joined block by block.
 
 Documents with equal sets are one class, and a cell gives a spanning forest of its links, so that copies are not
 expanded into pairs. Components come from star contraction over link tables that are written to the shared
-folder each round. Nothing but the table of common shingles (of bounded size) and row counts reaches the driver.
+folder each round; joins read these alone, so that Spark can split a node with many links. Nothing but the table of
+common shingles (of bounded size) and row counts reaches the driver.
 
 Null and empty texts and texts without words have no set and link with nothing. Rows that share an id are one
-document. Rows with a null id link like others; their component's id is null where no row in it has one.
+document. Any long is an id. Rows with a null id link like others, each under a number that no id has and that its
+text decides; their component's id is null where no row in it has one. Empty tables give empty results. ``op6`` leaves
+out columns besides doc_id and text, whatever their names; ``keep_one`` gives back all columns. Sets of equal size in a
+run come by id, the smallest first; a text of any length is one string in memory, with the hashes of its shingles.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from lodestone.llm.common import arrow_map, as_bytes, bucketed, materialize
+from lodestone.llm.common import arrow_map, as_bytes, bucketed, ddl, discard, materialize, unused
 
 SIZE, PERCENT = 5, 80
 #: Shingles that linked sets share at least among their first ones, which are so many more; runs of a shingle's
@@ -43,9 +47,7 @@ COMMON_ROWS, COMMON_LEAST = 65_536, 3
 #: Shingles that a task counts together.
 COUNTED = 2_000_000
 #: Shingles of a cell that is joined in memory, rows of a region's salt, rounds of cutting.
-CELL_WEIGHT, SALT_ROWS, ROUNDS = 3_000_000, 2_000, 3
-#: Ids from here on stand for rows without one.
-NO_ID = 1 << 62
+CELL_WEIGHT, SALT_ROWS, ROUNDS = 400_000, 500, 5
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _SIGN = np.uint64(1 << 63)
 
@@ -92,7 +94,7 @@ def packed(s: np.ndarray) -> np.ndarray:
 
 
 class _Profiled:
-    """Id, size and digest of each row's set; and, marked by a null digest, what is common in the task."""
+    """Id, tie, size and digest of each row's set; and, marked by a null digest, what is common in the task."""
 
     def __init__(self, size: int) -> None:
         self.size = size
@@ -114,28 +116,26 @@ class _Profiled:
             seen.clear()
 
         for b in batches:
-            ids, sizes, digests = b.column(0).to_pylist(), [], []
-            for i, text in enumerate(as_bytes(b.column(1))):
+            sizes, digests = [], []
+            for text in as_bytes(b.column(2)):
                 s = shingles(text, self.size)
                 digest = xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
                 digests.append(digest)
-                if ids[i] is None:
-                    ids[i] = NO_ID + int.from_bytes(xxh3_128_digest(text)[:7], "big")
                 if len(s) and digest not in seen:
                     seen.add(digest)
                     held.append(s)
                     total += len(s)
-            yield self._batch(ids, sizes, digests)
+            yield self._batch(b.column(0), b.column(1), sizes, digests)
             if total >= COUNTED:
                 count()
                 total = 0
         count()
-        yield self._batch(list(common), list(common.values()), [None] * len(common))
+        yield self._batch(pa.array(list(common), pa.int64()), pa.array([0] * len(common), pa.int64()), list(common.values()), [None] * len(common))
 
     @staticmethod
-    def _batch(ids: list, sizes: list, digests: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["id", "n", "digest"])
+    def _batch(ids: pa.Array, ties: pa.Array, sizes: list, digests: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, ties, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["id", "tie", "n", "digest"])
 
 
 class _Prefixed:
@@ -153,7 +153,7 @@ class _Prefixed:
                 s = shingles(text, self.size)
                 if not len(s):
                     continue
-                own = NO_ID + int.from_bytes(xxh3_128_digest(text)[:7], "big") if ids[i] is None else ids[i]
+                own = ids[i]
                 n, whole_size = prefix_length(len(s), self.percent, SHARED), len(s)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
@@ -173,9 +173,7 @@ class _Prefixed:
 def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
-        texts = as_bytes(b.column(1))
-        ids = [NO_ID + int.from_bytes(xxh3_128_digest(t)[:7], "big") if i is None else i for i, t in zip(b.column(0).to_pylist(), texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([pack(t) for t in texts], pa.binary())], names=["id", "text"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in as_bytes(b.column(1))], pa.binary())], names=["id", "text"])
 
 
 class _Measured:
@@ -401,23 +399,39 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u != v").distinct(), "stars")
+        after = materialize(small.where("u != v").distinct(), "stars")
+        discard(edges, least, large, low)
+        edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = now
 
 
-def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell_weight: int = CELL_WEIGHT, rounds: int = ROUNDS) -> DataFrame:
-    """(id, n, component) of each row; the id is the document's, or stands for the text of a row without one."""
+def identified(documents: DataFrame) -> tuple[Column, bool]:
+    """What identifies a row: its id, or where that is null a hash of its text that no row has as its id; and whether there are such."""
+    given = F.col("doc_id").cast("long")
+    bare = documents.where(given.isNull())
+    if bare.isEmpty():
+        return given, False
+    ids = documents.select(given.alias("id")).where("id IS NOT NULL")
+    salt = 0
+    while not (made := bare.select(F.xxhash64(F.lit(salt), F.coalesce("text", F.lit(""))).alias("id")).distinct()).join(ids, "id", "left_semi").isEmpty():
+        salt += 1
+    return F.coalesce(given, F.xxhash64(F.lit(salt), F.coalesce("text", F.lit("")))), True
+
+
+def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell_weight: int = CELL_WEIGHT, rounds: int = ROUNDS, own_id: Column | None = None, tie: Column | None = None) -> DataFrame:
+    """(id, tie, n, component) of each row; the id is the document's, or stands for the text of a row without one."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    profile = materialize(arrow_map(rows, _Profiled(size), "id long, n long, digest binary"), "profile")
+    own_id = identified(documents)[0] if own_id is None else own_id
+    rows = documents.select(own_id.alias("id"), (F.lit(0).cast("long") if tie is None else tie).alias("tie"), "text")
+    profile = materialize(arrow_map(rows, _Profiled(size), "id long, tie long, n long, digest binary"), "profile")
+    rows = rows.drop("tie")
     common = profile.where("digest IS NULL").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON_ROWS).collect()  # of bounded size
     hashes = np.array([r.id for r in common], np.int64).view(np.uint64)
     by = np.argsort(hashes)
@@ -440,6 +454,7 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     as_node = lambda df, c: df.join(node_of.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node"), F.col("n").alias(f"{c}_n")), c)
     pairs = as_node(as_node(found, "id"), "pivot").select(F.col("pivot_node").alias("cell"), F.col("pivot_node").alias("pivot"), F.col("id_node").alias("id"), F.col("id_n").alias("n"), "single")
     pairs = materialize(pairs.where("id != pivot").groupBy("cell", "pivot", "id").agg(F.min("single").alias("single"), F.max("n").alias("n")), "pairs")
+    discard(banded, first, found)
     needed = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
     texts = bucketed(arrow_map(rows, _compressed, "id long, text binary").join(needed.hint("merge"), "id", "left_semi"), "texts", "id")
 
@@ -447,7 +462,10 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     edges = edges.unionByName(near(measure(pairs.where("single").select("cell", "pivot", "id"), texts, size), percent))
     for more in links(pairs.where("NOT single").drop("single"), texts, size, percent, cell_weight, rounds):
         edges = edges.unionByName(more)
-    return own.select("id", "n").join(components(edges), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    linked_ids = components(edges)
+    discard(texts, pairs, node_of, nodes)
+    table.unpersist()
+    return own.select("id", "tie", "n").join(linked_ids, "id", "left").select("id", "tie", "n", F.coalesce("component", "id").alias("component"))
 
 
 class _Around:
@@ -516,8 +534,13 @@ class _Around:
 
 def op6(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return classes(documents).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    own_id, some_bare = identified(documents)
+    if not some_bare:
+        return classes(documents, own_id=own_id).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # Numbers that stand for rows without an id are told from ids by the tie column, and give way to the least id.
+    found = materialize(classes(documents, own_id=own_id, tie=F.col("doc_id").isNull().cast("long")), "classes").withColumn("doc_id", F.when(F.col("tie") == 0, F.col("id")))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 class _Restored:
@@ -535,30 +558,42 @@ class _Restored:
 
 
 class _Shipped:
-    """All columns, the text compressed, the id under which the join knows the row, and whether it has neither id nor words."""
+    """All columns, the text compressed."""
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            names = b.schema.names
-            raw = b.column(names.index("text")).cast(pa.binary()).to_pylist()
-            given = b.column(names.index("doc_id")).to_pylist()
-            ids = [NO_ID + int.from_bytes(xxh3_128_digest(t or b"")[:7], "big") if i is None else i for i, t in zip(given, raw, strict=True)]
-            bare = [i is None and not (t or b"").split() for i, t in zip(given, raw, strict=True)]
-            cols = [pa.array([None if t is None else pack(t) for t in raw], pa.binary()) if c == "text" else b.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bare, pa.bool_()), *cols], names=["kept_id", "kept_bare", *names])
+            at = b.schema.names.index("text")
+            texts = pa.array([None if t is None else pack(t) for t in b.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each component, that of the smallest id; rows that share an id are one document. Columns as given.
 
-    Rows with neither an id nor words link with nothing and all stay.
+    Of a component without ids the row stays whose number is smallest, and of several rows with one id that whose
+    columns have the smallest hash. Rows with neither an id nor words link with nothing and all stay.
     """
-    kept = classes(documents).where("id = component").select(F.col("id").alias("kept_id")).distinct()
-    ddl = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in documents.schema)
-    shipped = arrow_map(documents, _Shipped(), f"kept_id long, kept_bare boolean, {ddl}").withColumn("kept_bare", F.when(F.col("kept_bare"), F.monotonically_increasing_id()))
-    rows = shipped.join(kept, "kept_id", "left_semi").dropDuplicates(["kept_id", "kept_bare"]).drop("kept_id", "kept_bare")
-    return arrow_map(rows, _Restored(documents.columns), documents.schema)
+    own_id, some_bare = identified(documents)
+    kept_id, tie, place = (unused(documents.columns, c) for c in ("kept_id", "kept_tie", "kept_place"))
+    stays = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # Rows that are the same in all that is hashed stand in for each other; maps can't be hashed.
+    content = F.when(stays, F.lit(0).cast("long")).otherwise(F.xxhash64(*[F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]))
+    found = classes(documents, own_id=own_id, tie=content)
+    if some_bare:  # the smallest id of a component, or the smallest number where no row has one
+        found = materialize(found, "classes")
+        real = documents.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct().withColumn("real", F.lit(0))
+        ranked = found.join(real, "id", "left").withColumn("rank", F.struct(F.coalesce("real", F.lit(1)), "id"))
+        best = ranked.groupBy("component").agg(F.min("rank").alias("best"))
+        found = ranked.join(best, "component").where(F.col("rank") == F.col("best"))
+    else:
+        found = found.where("id = component")
+    kept = found.groupBy(F.col("id").alias(kept_id)).agg(F.min("tie").alias(tie))
+    # Of what all stays each row has a place of its own; for others the column is null.
+    named = documents.withColumns({kept_id: own_id, tie: content, place: F.when(stays, F.monotonically_increasing_id())})
+    shipped = arrow_map(named, _Shipped(), ddl(named, text="binary"))
+    rows = shipped.join(kept, [kept_id, tie], "left_semi").dropDuplicates([kept_id, place])
+    return arrow_map(rows.select(*[F.col(f"`{c}`") for c in documents.columns]), _Restored(documents.columns), documents.schema)
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = SIZE, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
@@ -582,3 +617,23 @@ def brute_force(rows: list[tuple[int, str | None]], size: int = SIZE, percent: i
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
     return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+#: The same in DuckDB, for ids that don't repeat and aren't null; it counts all pairs, so tables must be small.
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {SIZE - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {SIZE - 1}], ' '))) END AS s FROM w
+), x AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))
+), beside AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS root FROM s UNION SELECT b, root FROM reached JOIN beside ON a = doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(root) AS component_id FROM s JOIN reached USING (doc_id) GROUP BY ALL
+"""

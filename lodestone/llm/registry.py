@@ -27,4 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE_SQL, "op3_urls": urls.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}
+    return {
+        "op2_chat": chat.ORACLE_SQL, "op3_urls": urls.ORACLE_SQL, "op6_jaccard": jaccard.ORACLE_SQL, "op8_simhash": simhash.ORACLE_SQL, "op8_simhash_near": simhash.NEAR_SQL,
+        "op9_decontaminate": decontaminate.ORACLE_SQL,
+    }
