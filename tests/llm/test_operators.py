@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +101,32 @@ def test_jaccard_keeps_one(docs, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_jaccard_takes_any_id(spark):
+    """Both ends of long, beside rows without an id and a hash of theirs that is another's id."""
+    same, other = prose(1, 50), prose(2, 50)
+    taken = spark.range(1).selectExpr("xxhash64(0, 'x') AS h").first().h
+    ids = [(1 << 63) - 1, -(1 << 63), 1 << 62, None, None, taken, None]
+    texts = [same, same, other, other, prose(3, 50), prose(4, 50), "x"]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.op6(df).collect()), key=repr)
+    want = [((1 << 63) - 1, 46, -(1 << 63)), (-(1 << 63), 46, -(1 << 63)), (1 << 62, 46, 1 << 62), (None, 46, 1 << 62), (None, 46, None), (taken, 46, taken), (None, 1, None)]
+    assert got == sorted(want, key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(-(1 << 63), same), (1 << 62, other), (None, prose(3, 50)), (taken, prose(4, 50)), (None, "x")], key=repr)
+
+
+def test_jaccard_keeps_the_same_row_of_an_id(spark):
+    rows = [(7, prose(k, 20), "en", "s", k) for k in range(6)]
+    kept = {jaccard.keep_one(spark.createDataFrame(random.Random(k).sample(rows, 6), DOCS).repartition(k)).collect()[0] for k in (1, 3, 5)}
+    assert len(kept) == 1
+
+
+def test_components_of_a_hub(spark):
+    edges = [(1000, k) for k in range(200)] + [(2000 + k, 2001 + k) for k in range(40)] + [(5, 2000)]
+    got = {r.id: r.component for r in jaccard.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 200 + 41 + 1 - 1
+
+
 def test_jaccard_keeps_rows_without_id_and_words(spark):
     rows = [(None, t, "en", "s", 0) for t in (None, None, "", "", " \n ", " \n ", "one two", "one two")] + [(4, "", "en", "s", 0), (4, "", "en", "s", 0), (5, None, "en", "s", 0)]
     kept = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, DOCS).repartition(3)).collect()]
@@ -184,16 +214,52 @@ def test_pii_long_addresses_are_masked_whole(name, host):
 def test_secret_checksums():
     body = b"A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5"
     good = b"x ghp_" + body + secrets.checksum62(body) + b" y"
-    assert ("github", 2, 42) in secrets.find(good, secrets.automaton())
-    assert secrets.find(good[:-3] + b"z y", secrets.automaton()) == []
+    find = secrets.Scanner().find
+    assert ("github", 2, 42) in find(good) and find(good[:-3] + b"z y") == []
+    assert find(good.replace(b"ghp_", b"npm_")) == [("npm", 2, 42)]
+    known = b"nsec1vl029mgpspedva04g90vltkh6fvh240zqtv9k0t9af8935ke9laqsnlfe5"  # the example of the public format
+    assert find(b"(" + known + b")") == [("nsec", 1, 64)] and find(known[:-1] + b"4") == []
+    age = bech32("age-secret-key-", [(7 * k) % 32 for k in range(52)]).upper().encode()
+    assert find(b"key " + age) == [("age", 4, 4 + len(age))] and find(age[:-1] + b"QP"[age[-1:] == b"Q" :][:1]) == []
+
+
+def bech32(prefix, data):
+    """The word whose checksum holds, by trying the signs' effect one by one: the code is linear in its last six."""
+    word = prefix + "1" + "".join(secrets.BECH32[d] for d in data)
+
+    def left(values):
+        check = 1
+        for v in values:
+            top = check >> 25
+            check = (check & 0x1FFFFFF) << 5 ^ v
+            for i, g in enumerate(secrets.BECH32_GENERATOR):
+                check ^= g if top >> i & 1 else 0
+        return check
+
+    spread = [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix] + data + [0] * 6
+    rest = left(spread) ^ 1
+    return word + "".join(secrets.BECH32[rest >> 5 * (5 - i) & 31] for i in range(6))
+
+
+def test_secrets_of_hostile_texts():
+    find = secrets.Scanner().find
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000).rstrip(b"=")
+    header = base64.urlsafe_b64encode(b'{"alg":"HS256"}').rstrip(b"=")
+    assert find(b"x " + deep + b".aa.bb") == [] and find(b"x " + header + b".aa.bb") == [("jwt", 2, 2 + len(header) + 6)]
+    assert find(b"x" + header + b".aa.bb") == []
+    began = time.perf_counter()
+    for text in (b"eyJ" * 350_000, b"eyJ." * 250_000, b"a" * 1_000_000, b"token" + b" " * 1_000_000, b"AKIA" * 250_000, b"password=" * 100_000):
+        found = find(text)
+        assert [s for s in found if s[0] in ("assign", "access", "hex")] == secrets.brute_force(text.decode())[0]
+    assert time.perf_counter() - began < 20
 
 
 def test_pii_network_on_unseen_spans():
     tagger, r = pii.train(), random.Random(99)
     seen = [pii.labelled(r) for _ in range(300)]
     tags = tagger.decode(np.stack([pii.codes(t) for t, _ in seen]))
-    spans = lambda y: set(pii.spans_of(dict(enumerate(y)), list(range(len(y)))))
-    both = [(spans(y), spans(p.tolist())) for (_, y), p in zip(seen, tags, strict=True)]
+    spans = lambda y: set(pii.spans_of(np.array(y)))
+    both = [(spans(y), spans(p)) for (_, y), p in zip(seen, tags, strict=True)]
     hit = sum(len(a & b) for a, b in both)
     assert hit / sum(len(b) for _, b in both) > 0.85 and hit / sum(len(a) for a, _ in both) > 0.85
 
@@ -201,14 +267,62 @@ def test_pii_network_on_unseen_spans():
 def test_pieces_round_trip_and_streaming(docs, empty):
     v = pieces.load_vocabulary()
     e = pieces.Encoder(v)
-    for t in ["", "Hello world", "  two  spaces \n\t▁ literal ", "梦 ☃ " + "a" * 300, prose(5, 300), "no" * 5000]:
-        ids = e.encode([t])[0].tolist()
-        assert ids == list(pieces.stream(pieces.prepared(t), v))
+    for t in ["", "Hello world", "  two  spaces \n\t▁ literal ", "梦 ☃ " + "a" * 300, prose(5, 300), "no" * 2000]:
+        ids = e.encode(t).tolist()
+        assert ids == list(pieces.stream(pieces.prepared(t), v)) == pieces.brute_force(t, v)
         assert pieces.decode_ids(ids, v) == t
     assert all(r.round_trip for r in pieces.op5(docs).collect())
     assert pieces.op5(empty).collect() == []
 
 
+def small_vocabulary(r):
+    """Byte pieces and a few random ones, many of equal score."""
+    words = sorted({"".join(r.choices("ab▁c", k=r.randint(1, 5))) for _ in range(r.randint(1, 14))})
+    return pieces.Vocabulary.of([(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)] + [(p, r.choice([-1.0, -2.0, -2.5, -3.0]), "normal") for p in words])
+
+
+def test_pieces_on_small_vocabularies():
+    r = random.Random(1)
+    for _ in range(200):
+        v = small_vocabulary(r)
+        for _ in range(5):
+            t = "".join(r.choices("ab c▁x\n", k=r.randint(0, 40)))
+            ids = list(pieces.stream(pieces.prepared(t), v))
+            assert ids == pieces.brute_force(t, v) == pieces.Encoder(v).encode(t).tolist()
+            assert pieces.decode_ids(ids, v) == t
+
+
+def test_pieces_tables_on_small_vocabularies(spark, monkeypatch):
+    r = random.Random(2)
+    made = {f"v{k}": small_vocabulary(r) for k in range(3)}
+    texts = ["".join(r.choices("ab c▁x", k=r.randint(0, 60))) for _ in range(40)] + [None]
+    batches = pa.table([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]).to_batches()
+    monkeypatch.setattr(pieces, "load_vocabulary", made.__getitem__)
+    for name, v in made.items():
+        pieces.encoder.cache_clear()
+        both = pieces._Both(pieces._Encoded(name, 1, "input_ids"), pieces._Decoded(name, 2, "decoded"))
+        rows = pa.Table.from_batches(both(iter(batches))).to_pylist()
+        assert [x["input_ids"] for x in rows] == [pieces.brute_force(t or "", v) for t in texts]
+        assert [x["decoded"] for x in rows] == [t or "" for t in texts]
+    pieces.encoder.cache_clear()
+
+
+def test_pieces_commit_before_the_end():
+    v = pieces.load_vocabulary()
+    given = []
+
+    def letters():
+        for i, c in enumerate(pieces.prepared(prose(8, 400))):
+            given.append(i)
+            yield c
+
+    behind = [given[-1] for _ in pieces.stream(letters(), v)]
+    assert behind[len(behind) // 2] < 0.6 * len(given)  # half of the ids are known when half of the text is
+    # Two paths through these never meet: all is given at the end, once.
+    never = pieces.Vocabulary.of([("aa", -1.0, "normal"), ("a", -9.0, "normal"), ("▁", -1.0, "normal")])
+    assert sum(1 for _ in pieces.stream("▁" + "a" * 20_001, never)) == 1 + 10_000 + 1
+
+
 def test_pieces_equal_the_library_under_its_own_search():
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
@@ -219,7 +333,7 @@ def test_pieces_equal_the_library_under_its_own_search():
     m.trainer_spec.model_type = 1
     lib = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
     texts = [prose(k, 50) for k in range(20)]
-    own = pieces.Encoder(pieces.load_vocabulary()).encode(texts)
+    own = list(map(pieces.Encoder(pieces.load_vocabulary()).encode, texts))
     total = lambda ids: sum(lib.get_score(int(i)) for i in ids)  # noqa: E731  paths of equal score may differ
     assert all(total(x) >= total(y) for x, y in zip(own, lib.encode(texts), strict=True))  # the library sums in single precision
     assert [total(x) for x in own] == pytest.approx([total(x) for x in lib.encode(texts)], rel=1e-5)
@@ -252,17 +366,46 @@ def test_urls(spark):
     assert got[7] == got[8] == ("", None, "allow") and got[10][1] is None
 
 
+def plain_fingerprint(text):
+    """Votes term by term and bit by bit, in whole numbers."""
+    words = (text or "").encode().lower().split()
+    word = lambda w: int.from_bytes(hashlib.md5(w).digest()[8:], "little")
+    counts = Counter([word(w) for w in words] + [(word(a) * simhash.PAIR + word(b)) % (1 << 64) for a, b in zip(words, words[1:], strict=False)])
+    return sum(1 << b for b in range(64) if sum(n.bit_length() * (1 if h >> b & 1 else -1) for h, n in counts.items()) > 0)
+
+
+def test_fingerprints_against_plain_votes():
+    r = random.Random(12)
+    for k in range(30):
+        text = " ".join(r.choices(["a", "B", "é", "cc", "\t", "d\x0be"], k=k))
+        assert simhash.fingerprint(text) == plain_fingerprint(text)
+    long = prose(3, 300) * 200
+    assert simhash.fingerprint(long) == plain_fingerprint(long)
+
+
 def test_simhash_neighbours(spark, docs, empty):
     assert simhash.op8(docs).count() == docs.count() and simhash.op8(empty).collect() == []
     texts = {0: "a b c d", 5: "é f", 9: None}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = {r.doc_id: r for r in simhash.op8(df).collect()}
-    import hashlib
-
     for x, y in ((9, 5), (5, 0), (0, 9)):
         made = simhash.edited(texts[x] or "", texts[y] or "")
         assert rows[x].edited_sha256 == hashlib.sha256(made.encode()).hexdigest()
-        assert rows[x].near_next == simhash.likeness(simhash.fingerprint(texts[x] or ""), simhash.fingerprint(texts[y] or ""))
+        assert rows[x].near_next == simhash.likeness(plain_fingerprint(texts[x]), plain_fingerprint(texts[y]))
+        assert rows[x].fingerprint == f"{plain_fingerprint(texts[x]):016x}" and rows[x].edited_fingerprint == f"{plain_fingerprint(made):016x}"
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+def test_simhash_ranges_are_in_order(spark, ranges):
+    """Each row is followed by the next in the order of id and text's hash, whatever ranges they fall into."""
+    r = random.Random(ranges)
+    ids = [r.choice([3, 3, 3, None, None, r.randrange(50), -(1 << 63), (1 << 63) - 1]) for _ in range(120)]
+    df = spark.createDataFrame([(i, f"t{k} {k % 9}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    keyed = df.selectExpr("doc_id", "text", "xxhash64(text) AS tie").collect()
+    order = sorted(keyed, key=lambda x: (x.doc_id is not None, x.doc_id or 0, x.tie), reverse=True)
+    want = sorted((x.doc_id is None, x.doc_id or 0, hashlib.sha256(simhash.edited(x.text, y.text).encode()).hexdigest()) for x, y in zip(order, [*order[1:], order[0]], strict=True))
+    got = simhash.with_next(df, ranges).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.edited_sha256) for x in got) == want
 
 
 def test_near_counts_against_all_pairs(spark):
@@ -271,8 +414,9 @@ def test_near_counts_against_all_pairs(spark):
     fps += [x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for x in fps[:30]] + fps[:5]
     signed = [simhash.signed(x) for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r.fp: r.n for r in simhash.near_counts(df, df).collect()}
-    assert got == {s: sum((a ^ b).bit_count() <= simhash.RADIUS for b in fps) for s, a in zip(signed, fps, strict=True)}
+    for salt_rows in (simhash.SALT_ROWS, 2):
+        got = {r.fp: r.n for r in simhash.near_counts(df, df, salt_rows=salt_rows).collect()}
+        assert got == {s: sum((a ^ b).bit_count() <= simhash.RADIUS for b in fps) for s, a in zip(signed, fps, strict=True)}
 
 
 def test_near_pairs_against_all_pairs(spark):
