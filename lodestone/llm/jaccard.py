@@ -46,7 +46,7 @@ SHARED, SHORT_RUN = 3, 4
 COMMON_ROWS, COMMON_LEAST = 65_536, 3
 #: Shingles that a task counts together.
 COUNTED = 2_000_000
-#: Shingles of a cell that is joined in memory, rows of a region's salt, rounds of cutting.
+#: Shingles of a cell that is joined in memory, rows of a region that one task cuts or of a salt of a larger one, rounds of cutting.
 CELL_WEIGHT, SALT_ROWS, ROUNDS = 400_000, 500, 5
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _SIGN = np.uint64(1 << 63)
@@ -360,12 +360,14 @@ def rings(distances: DataFrame, percent: int) -> DataFrame:
 def links(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = PERCENT, cell_weight: int = CELL_WEIGHT, rounds: int = ROUNDS) -> list[DataFrame]:
     """All links among the documents of common regions, from (cell, pivot, id, n), up to connection: tables of (u, v).
 
-    Regions within ``cell_weight`` are cut in one task each, the others over tables, until their cells are small.
+    Regions within ``cell_weight`` and SALT_ROWS are cut in one task each, the others over tables, until their cells
+    are small.
     """
-    weights = materialize(pairs.groupBy("cell").agg(F.sum("n").alias("weight")), "region-weights")
-    out = [cut(pairs.join(weights.where(F.col("weight") <= cell_weight), "cell", "left_semi"), texts, size, percent)]
-    pairs = pairs.join(weights.where(F.col("weight") > cell_weight), "cell", "left_semi").select("cell", "pivot", "id")
-    if weights.where(F.col("weight") > cell_weight).isEmpty():
+    weights = materialize(pairs.groupBy("cell").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("rows")), "region-weights")
+    large = (F.col("weight") > cell_weight) | (F.col("rows") > SALT_ROWS)
+    out = [cut(pairs.join(weights.where(~large), "cell", "left_semi"), texts, size, percent)]
+    pairs = pairs.join(weights.where(large), "cell", "left_semi").select("cell", "pivot", "id")
+    if weights.where(large).isEmpty():
         return out
     for depth in range(rounds):
         distances = measure(pairs, texts, size)
