@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def ieee_div(a: Column, b: Column) -> Column:
@@ -15,24 +16,33 @@ def ieee_div(a: Column, b: Column) -> Column:
     return F.when(y.isNull() | x.isNull(), F.lit(None).cast("double")).when(y != 0, x / F.when(y != 0, y)).otherwise(at_zero)
 
 
-def null_safe_eq(a: Column, b: Column) -> Column:
-    """Equality under which null equals null."""
-    return a.eqNullSafe(b)
-
-
 def djb2(key: Column) -> Column:
     """The 32-bit hash h = 33 h + byte, from 5381, over the UTF-8 bytes of the key's text."""
     digits = F.hex(F.encode(key.cast("string"), "UTF-8"))
     n = (F.length(digits) / 2).cast("int")
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    each = F.transform(at, lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
-    return F.when(key.isNotNull(), F.aggregate(each, F.lit(5381).cast("long"), lambda h, b: (h * 33 + b).bitwiseAND(F.lit(0xFFFFFFFF))))
+    digit = lambda i: F.instr(F.lit("123456789ABCDEF"), F.substring(digits, i, F.lit(1)))  # noqa: E731  0 where it is a zero
+    step = lambda h, i: (h * 33 + digit(2 * i + 1) * 16 + digit(2 * i + 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(key.isNotNull(), F.aggregate(at, F.lit(5381).cast("long"), step))
+
+
+def djb2_of(key: object) -> int:
+    """The same hash of a constant."""
+    h = 5381
+    for byte in str(key).encode():
+        h = (h * 33 + byte) & 0xFFFFFFFF
+    return h
 
 
 def shard_of(key: Column, shards: int) -> Column:
     return (djb2(key) % shards).cast("int")
 
 
+def lenient(df: DataFrame, schema: StructType) -> DataFrame:
+    """Text columns read as the schema's types; what can't be read is null instead of an error."""
+    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+
+
 def general(c: Column, digits: int = 10) -> Column:
     """A double with so many significant digits: plain where its exponent is from -4 up to ``digits`` - 1, else with an exponent."""
     x = c.cast("double")

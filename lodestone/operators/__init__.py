@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -100,3 +100,31 @@ def limit(df: DataFrame, count: int | None = None, offset: int = 0) -> DataFrame
 
 def distinct(df: DataFrame) -> DataFrame:
     return df.distinct()
+
+
+def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, anti: bool = False) -> DataFrame:
+    """Rows of the left side that have a partner, or none."""
+    return left.join(right, left[left_key] == right[right_key], "left_anti" if anti else "left_semi")
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: Sequence[str], prefix: str = "last_") -> DataFrame:
+    """Each left row with the values of the latest right row of its key at its time or before; null where there is none.
+
+    Both sides in one sorted pass over each key: one shuffle, and no pairs. Of right rows at one time the one with the
+    greatest values counts. Left rows with a null key or time get nulls.
+    """
+    side, held = "asof_side", "asof_values"
+    both = left.withColumns({side: F.lit(1), held: F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType)}).unionByName(
+        right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, F.lit(0).alias(side), F.struct(*values).alias(held)), allowMissingColumns=True
+    )
+    upto = Window.partitionBy(key).orderBy(F.col(time).asc_nulls_first(), side, held).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.when(F.col(key).isNotNull(), F.last(held, ignorenulls=True).over(upto))
+    return both.withColumn(held, latest).where(F.col(side) == 1).select(*left.columns, *[F.col(f"{held}.{v}").alias(prefix + v) for v in values])
+
+
+def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs with low <= point < high, by bins of ``width``: an interval is copied to each bin it meets, a point to its own."""
+    bin_ = "range_bin"
+    points = left.withColumn(bin_, F.floor(F.col(point) / width))
+    spans = right.where(F.col(low) < F.col(high)).withColumn(bin_, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    return points.join(spans, bin_).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(bin_)
