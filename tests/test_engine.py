@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,54 +23,117 @@ def rows(engine, text):
     return engine.sql(text).rows()
 
 
-def test_crud(engine):
-    assert engine.sql("CREATE TABLE t (id INT, name TEXT, val DOUBLE)").rows_affected == 1
-    assert engine.sql("INSERT INTO t VALUES (1, 'Alice', 10.5), (2, 'Bob', 20.0), (3, 'Charlie', 30.75)").rows_affected == 3
-    engine.sql("INSERT INTO t (id, name) VALUES (4, 'NULL_TEST')")
-    assert rows(engine, "SELECT id FROM t WHERE val IS NULL") == [(4,)]
-    assert engine.sql("UPDATE t SET val = val * 2, name = 'B' WHERE id = 2").rows_affected == 1
-    assert rows(engine, "SELECT name, val FROM t WHERE id = 2") == [("B", 40.0)]
-    assert engine.sql("DELETE FROM t WHERE val > 35").rows_affected == 1
-    assert rows(engine, "SELECT count(*) FROM t") == [(3,)]
-    assert engine.sql("DROP TABLE IF EXISTS nothing").rows_affected == 0
-    engine.sql("DROP TABLE t")
+def test_metadata_of_results_and_catalog(engine):
+    made = engine.sql("CREATE TABLE Depot (bay INT, tons DOUBLE, goods TEXT)")
+    assert made.rows_affected == 1 and made.elapsed_us > 0 and made.rows() == []
+    assert engine.sql("INSERT INTO depot SELECT id, id * 0.5, concat('g', id) FROM range(40)").rows_affected == 40
+    assert engine.exists("DEPOT") and engine.tables() == ["Depot"] and engine.version() == 2
+    assert engine.sql("DELETE FROM depot WHERE bay >= 30").rows_affected == 10
+    stats = engine.statistics("depot")
+    assert stats["rows"] == 30 and stats["oid"] == 1 and stats["modified"] >= stats["created"]
+    engine.sql("CREATE UNIQUE INDEX at_bay ON depot (bay)")
+    assert engine.indexes("depot") == ["at_bay"] and "index at_bay on Depot(bay) unique" in engine.describe()
+    assert rows(engine, "EXPLAIN SELECT * FROM depot WHERE bay = 3")[0][0].count("EqualTo(bay,3)") == 1
     with pytest.raises(EngineError):
-        engine.table("t")
-
-
-def test_aggregates(engine):
-    engine.script("CREATE TABLE agg (grp TEXT, val INT); INSERT INTO agg VALUES ('A', 10), ('A', 20), ('B', 5), ('B', 15), ('C', 100)")
-    assert rows(engine, "SELECT sum(val), count(val), min(val), max(val) FROM agg") == [(150, 5, 5, 100)]
-    assert rows(engine, "SELECT grp, sum(val) FROM agg GROUP BY grp HAVING sum(val) > 25 ORDER BY grp") == [("A", 30), ("C", 100)]
+        engine.statistics("nothing")
+
+
+def test_index_prunes_row_groups(engine, spark, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else this little data is one file
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    engine.sql("CREATE TABLE wide (k INT, v TEXT)")
+    engine.sql("INSERT INTO wide SELECT pmod(hash(id), 100000), repeat('x', 20) FROM range(20000)")
+    engine.sql("CREATE INDEX by_k ON wide (k)")
+    engine.sql("INSERT INTO wide SELECT pmod(hash(id), 100000), 'late' FROM range(500)")
+    import pyarrow.parquet as pq
+
+    state = engine.catalog.load()["tables"]["wide"]
+    files = [f for p in state["paths"] for f in spark.read.parquet(p).inputFiles()]
+    spans = [pq.read_metadata(f.removeprefix("file://")).row_group(0).column(0).statistics for f in files]
+    assert len(state["paths"]) == 2 and any(s.max - s.min < 60_000 for s in spans)
+    for f in files:
+        keys = pq.read_table(f.removeprefix("file://")).column("k").to_pylist()
+        assert keys == sorted(keys)
+
+
+def test_views_end_with_their_statement(engine, spark):
+    spark.range(3).createOrReplaceTempView("shelf")
+    engine.script("CREATE TABLE shelf (a INT); INSERT INTO shelf VALUES (41)")
+    assert rows(engine, "SELECT a FROM shelf") == [(41,)]
+    assert spark.table("shelf").count() == 3
+    kept = engine.sql("SELECT a FROM shelf").df
+    engine.script("DROP TABLE shelf; CREATE TABLE shelf (a INT)")
+    assert kept.collect() == [(41,)] and rows(engine, "SELECT a FROM shelf") == []
+    spark.catalog.dropTempView("shelf")
+    engine.sql("DROP TABLE shelf")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        engine.sql("SELECT a FROM shelf")
+    other = Engine(spark, engine.catalog.root + "-other")
+    other.script("CREATE TABLE lamp (a INT)")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        engine.sql("SELECT * FROM lamp")
+
+
+def folders(engine):
+    return {str(p.parent) for p in Path(engine.catalog.root).glob("data/*/*/_SUCCESS")} | {str(p) for p in Path(engine.catalog.root).glob("data/*/*")}
+
+
+def test_failed_statements_leave_nothing(engine, spark):
+    engine.script("CREATE TABLE slot (a INT NOT NULL); INSERT INTO slot VALUES (1), (2)")
+    before = folders(engine)
+    with pytest.raises(Exception, match="null value"):
+        engine.sql("INSERT INTO slot VALUES (3), (NULL)")
+    with pytest.raises(Exception, match="null value"):
+        engine.sql("UPDATE slot SET a = NULL WHERE a = 2")
+    assert engine.sql("UPDATE slot SET a = 9 WHERE a = 7").rows_affected == 0
+    assert folders(engine) == before and sorted(rows(engine, "SELECT a FROM slot")) == [(1,), (2,)]
+    other = Engine(spark, engine.catalog.root)
+    other.script("BEGIN; DELETE FROM slot WHERE a = 1")
+    engine.sql("INSERT INTO slot VALUES (5)")
+    with pytest.raises(CommitConflict):
+        other.sql("COMMIT")
+    assert len(folders(engine)) == len(before) + 1
+    engine.sql("DELETE FROM slot WHERE a = 5")
+    assert len(engine.vacuum(older_than_s=0)) == 2 and len(folders(engine)) == 1
+    assert sorted(rows(engine, "SELECT a FROM slot")) == [(1,), (2,)]
+
+
+def test_broken_manifests_are_passed_over(engine, spark):
+    engine.script("CREATE TABLE jar (a INT); INSERT INTO jar VALUES (1)")
+    last = engine.version()
+    (Path(engine.catalog.root) / "_manifests" / f"{last + 1:012d}.json").write_text('{"version": 3, "tab')
+    again = Engine(spark, engine.catalog.root)
+    assert again.version() == last and rows(again, "SELECT a FROM jar") == [(1,)]
+    again.sql("INSERT INTO jar VALUES (2)")
+    assert again.version() == last + 2 and sorted(rows(engine, "SELECT a FROM jar")) == [(1,), (2,)]
+    with pytest.raises(CommitConflict):
+        engine.catalog.store(engine.catalog.load(), last)
 
 
-def test_full_join_sorts_nulls_last(engine):
-    engine.script("""
-        CREATE TABLE u (id INT, name TEXT); INSERT INTO u VALUES (1, 'Alice'), (2, 'Bob'), (3, 'Charlie');
-        CREATE TABLE o (id INT, user_id INT, amount DOUBLE);
-        INSERT INTO o VALUES (101, 1, 50.0), (102, 1, 25.0), (103, 2, 100.0), (104, 99, 75.0)""")
-    got = rows(engine, "SELECT u.name, o.amount, o.id FROM u FULL JOIN o ON u.id = o.user_id ORDER BY u.name, o.amount")
-    assert got == [("Alice", 25.0, 102), ("Alice", 50.0, 101), ("Bob", 100.0, 103), ("Charlie", None, None), (None, 75.0, 104)]
+def test_functions_of_the_session(engine):
+    engine.register_function("twice", lambda x: 2 * x, "int")
+    assert rows(engine, "SELECT twice(id) FROM range(3) ORDER BY 1") == [(0,), (2,), (4,)]
 
+    @F.udtf(returnType="n int")
+    class Count:
+        def eval(self, upto: int):
+            for i in range(upto):
+                yield (i,)
 
-def test_limit_in_either_order(engine):
-    engine.script("CREATE TABLE l (id INT, val TEXT); INSERT INTO l VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd'), (5, 'e')")
-    assert rows(engine, "SELECT id FROM l ORDER BY id LIMIT 2 OFFSET 1") == rows(engine, "SELECT id FROM l ORDER BY id OFFSET 1 LIMIT 2") == [(2,), (3,)]
-    assert rows(engine, "SELECT id FROM l ORDER BY id DESC LIMIT 0") == []
+    engine.register_function("count_to", Count)
+    assert rows(engine, "SELECT n FROM count_to(2) ORDER BY n") == [(0,), (1,)]
 
 
-def test_transactions(engine, spark):
-    engine.script("CREATE TABLE x (val INT); INSERT INTO x VALUES (10)")
-    other = Engine(spark, engine.catalog.root)
-    engine.script("BEGIN; UPDATE x SET val = 20")
-    assert rows(engine, "SELECT val FROM x") == [(20,)]
-    assert rows(other, "SELECT val FROM x") == [(10,)]
+def test_snapshot_holds_through_others_commits(engine, spark):
+    engine.script("CREATE TABLE tide (at INT, cm INT); INSERT INTO tide VALUES (6, 210), (12, 35)")
+    reader = Engine(spark, engine.catalog.root)
+    reader.sql("BEGIN")
+    engine.script("BEGIN; UPDATE tide SET cm = cm + 5; INSERT INTO tide VALUES (18, 220)")
+    assert rows(engine, "SELECT sum(cm) FROM tide") == [(475,)] and rows(reader, "SELECT sum(cm) FROM tide") == [(245,)]
     engine.sql("COMMIT")
-    assert rows(other, "SELECT val FROM x") == [(20,)]
-    engine.script("BEGIN; DELETE FROM x; ROLLBACK")
-    assert rows(engine, "SELECT val FROM x") == [(20,)]
-    with pytest.raises(EngineError):
-        engine.sql("COMMIT")
+    assert rows(reader, "SELECT sum(cm) FROM tide") == [(245,)]
+    reader.sql("COMMIT")
+    assert rows(reader, "SELECT sum(cm) FROM tide") == [(475,)]
 
 
 def test_first_committer_wins_by_table(engine, spark):
@@ -100,10 +164,27 @@ def test_not_null_and_errors(engine):
     assert engine.sql("DROP INDEX i").rows_affected == 1
 
 
-def test_null_order_at_depth():
-    text = dialect.rewrite("SELECT a, row_number() OVER (PARTITION BY b ORDER BY c DESC, f(d, e)) FROM t ORDER BY a, b NULLS FIRST OFFSET 1 LIMIT 2")
-    assert "c DESC NULLS FIRST , f ( d , e ) NULLS LAST )" in text
-    assert text.endswith("ORDER BY a NULLS LAST , b NULLS FIRST LIMIT 2 OFFSET 1")
+def test_rewrites_leave_the_rest_as_it_is():
+    text = dialect.rewrite("SELECT a, row_number() OVER (PARTITION BY b ORDER BY c DESC, f(d, e)) FROM t ORDER BY a, b NULLS FIRST OFFSET 1 ROWS LIMIT 2")
+    assert "ORDER BY c DESC NULLS FIRST, f(d, e) NULLS LAST)" in text and text.endswith("ORDER BY a NULLS LAST, b NULLS FIRST LIMIT 2 OFFSET 1")
+    for same in (
+        "SELECT 1e5, 10L, 1.5D, 2BD, .5e-3, r'\\d', 'it\\'s', x'0F', \"q\" FROM t", "SELECT /*+ BROADCAST(b) */ a == b, a <=> b, x >> 2, a::int, m -> 1 FROM t -- a / b", "SELECT `a/b`, '/', 4 / 2, x / 1.5e0 FROM t",
+        "SELECT interval '2' day / x FROM t",
+    ):
+        assert dialect.rewrite(same) == same
+    assert dialect.split("a; -- ;\n b ';' ; /* ; */ c;") == ["a", "-- ;\n b ';'", "/* ; */ c"]
+
+
+def test_division_of_any_operands(spark):
+    engine = Engine(spark)
+    engine.attach("d", spark.sql("SELECT * FROM VALUES (1, 6, 4.0D), (2, 0, 0.0D), (3, -2, 0.0D), (4, NULL, 1.0D) AS d(k, a, b)"))
+    got = rows(engine, "SELECT k, a / b, -a / b * 2, abs(a) / (b - 4), a * 3 / b / 2, CASE WHEN k = 1 THEN 8 END / b, a / CAST(b AS INT) FROM d ORDER BY k")
+    nan, inf = "nan", math.inf
+    plain = [tuple("nan" if isinstance(v, float) and math.isnan(v) else v for v in r) for r in got]
+    assert plain == [(1, 1.5, -3.0, inf, 2.25, 2.0, 1.5), (2, nan, nan, -0.0, nan, None, nan), (3, -inf, inf, -0.5, -inf, None, -inf), (4, None, None, None, None, None, None)]
+    assert rows(engine, "SELECT sum(a) / count(*), sum(a) / sum(b) FROM d") == [(1.0, 0.8)]
+    assert rows(engine, "SELECT a / b AS q, count(*) FROM d WHERE k <> 2 GROUP BY a / b ORDER BY q") == [(-inf, 1), (1.5, 1), (None, 1)]
+    assert rows(engine, "SELECT k FROM d WHERE a / b < 0 OR sum_of(k) / 0 > 9".replace("sum_of(k)", "abs(k)")) == [(1,), (2,), (3,), (4,)]
 
 
 def test_fmt_value_has_ten_significant_digits(spark):
