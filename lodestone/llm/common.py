@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch that a function gets at once; a longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+_BYTES_SETTING, _BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 #: Spark takes no more buckets than this by default.
 MOST_BUCKETS = 100_000
 
@@ -109,7 +110,14 @@ class _Bounded:
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow``; Spark bounds the bytes of what it sends at once, and the function sees slices of that."""
+    """``mapInArrow`` over batches of bounded bytes, of which the function sees slices.
+
+    Spark's default of 64 MB at once is too much for executors of a few GB, on both sides of each of their tasks. Where
+    the session has left it at that it is lowered; it changes no result, and a value that someone has set stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES_SETTING, _BYTES_DEFAULT) == _BYTES_DEFAULT:
+        conf.set(_BYTES_SETTING, f"{BATCH_BYTES}b")
     return df.mapInArrow(_Bounded(function), schema)
 
 

@@ -39,8 +39,8 @@ SPACE = "▁"
 _LITERAL = "\ud800"
 #: What a character without a piece costs beyond the lowest score, and the unit of scores.
 UNKNOWN_PENALTY, UNIT = 10.0, 1 << 24
-#: Words, and parts of words, whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words, and parts of words, whose ids a task remembers; it forgets them when it ends.
+REMEMBERED = 300_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -206,12 +206,15 @@ class Encoder:
             got = self.known[word] = b"".join([self._part(whole[a:b]) for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)])
         return got
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.parts.clear()
+
     def encode(self, text: str) -> np.ndarray:
         if not self.v.by_word:
             return np.fromiter(stream(prepared(text), self.v), np.int32)
-        for memory in (self.known, self.parts):
-            if len(memory) > REMEMBERED:
-                memory.clear()
+        if max(len(self.known), len(self.parts)) > REMEMBERED:
+            self.forget()
         return np.frombuffer(b"".join(map(self._word, self._cut(text))), np.int32)
 
 
@@ -237,6 +240,7 @@ class _Encoded:
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[*b.schema.names, self.into])
+        own.forget()
 
 
 class _Decoded:
