@@ -40,7 +40,7 @@ _LITERAL = "\ud800"
 #: What a character without a piece costs beyond the lowest score, and the unit of scores.
 UNKNOWN_PENALTY, UNIT = 10.0, 1 << 24
 #: Words, and parts of words, whose ids a task remembers; it forgets them when it ends.
-REMEMBERED = 300_000
+WORDS, PARTS = 200_000, 400_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -213,8 +213,10 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not self.v.by_word:
             return np.fromiter(stream(prepared(text), self.v), np.int32)
-        if max(len(self.known), len(self.parts)) > REMEMBERED:
-            self.forget()
+        if len(self.known) > WORDS:
+            self.known.clear()
+        if len(self.parts) > PARTS:
+            self.parts.clear()
         return np.frombuffer(b"".join(map(self._word, self._cut(text))), np.int32)
 
 
