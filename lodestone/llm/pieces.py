@@ -20,7 +20,8 @@ window and the steps of paths since the last boundary where all met.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from math import inf
@@ -178,13 +179,25 @@ def brute_force(text: str, v: Vocabulary) -> list[int]:
     return [i for ids in reversed(out) for i in ids]
 
 
+class _Remembered(dict):
+    """Ids by word or part; those of a new one are searched."""
+
+    def __init__(self, search: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.search = search
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = self.search(key)
+        return got
+
+
 class Encoder:
     """Streams texts through the search; what lies between two boundaries that no piece goes over is remembered."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
-        self.known: dict[str, bytes] = {}  # by word without the U+2581 before it
-        self.parts: dict[str, bytes] = {}
+        self.known = _Remembered(self._word)  # by word without the U+2581 before it
+        self.parts = _Remembered(self._part)
 
     def _cut(self, text: str) -> list[str]:
         """The words of a text, each without the U+2581 before it."""
@@ -193,18 +206,12 @@ class Encoder:
         return words if "" not in words else [w[1:] for w in _WORDS.findall(SPACE + text.replace(" ", SPACE))] if text else []
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = self.parts[part] = np.fromiter(stream(part, self.v), np.int32).tobytes()
-        return got
+        return array("i", stream(part, self.v)).tobytes()
 
     def _word(self, word: str) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            whole, pairs = SPACE + word, self.v.pairs
-            cuts = [i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in pairs]
-            got = self.known[word] = b"".join([self._part(whole[a:b]) for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)])
-        return got
+        whole, pairs, known = SPACE + word, self.v.pairs, self.parts
+        cuts = [i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in pairs]
+        return b"".join([known[whole[a:b]] for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)])
 
     def forget(self) -> None:
         self.known.clear()
@@ -217,7 +224,7 @@ class Encoder:
             self.known.clear()
         if len(self.parts) > PARTS:
             self.parts.clear()
-        return np.frombuffer(b"".join(map(self._word, self._cut(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self._cut(text))), np.int32)
 
 
 @lru_cache(maxsize=2)
