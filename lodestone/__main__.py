@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+from pyspark.logger import PySparkLogger
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ def main(arguments: list[str], source=sys.stdin) -> int:  # noqa: ANN001
     config: Config = from_arguments(arguments)
     builder = SparkSession.builder.master(config.master).config("spark.ui.showConsoleProgress", "false")
     spark = builder.config(map=config.conf).getOrCreate() if config.conf else builder.getOrCreate()
+    PySparkLogger.getLogger("SQLQueryContextLogger").setLevel("CRITICAL")  # what fails is told once, by us
     engine, failed = Engine(spark, config.warehouse), 0
     for statement in dialect.split(source.read()):
         try:
