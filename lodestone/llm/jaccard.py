@@ -42,12 +42,14 @@ SIZE, PERCENT = 5, 80
 #: Shingles that linked sets share at least among their first ones, which are so many more; runs of a shingle's
 #: documents up to this length are counted by pairs.
 SHARED, SHORT_RUN = 3, 4
-#: Rows of the table of common shingles, which only orders shingles; and counts that make one common.
-COMMON_ROWS, COMMON_LEAST = 65_536, 3
+#: Rows of the table of common shingles, which only orders shingles; counts that make one common in a task; and documents, about, that are counted, and by how many tasks.
+COMMON_ROWS, COMMON_LEAST, COMMON_SAMPLE, COMMON_TASKS = 65_536, 3, 32_768, 8
 #: Shingles that a task counts together.
 COUNTED = 2_000_000
 #: Shingles of a cell that is joined in memory, rows of a region that one task cuts or of a salt of a larger one, rounds of cutting.
 CELL_WEIGHT, SALT_ROWS, ROUNDS = 400_000, 500, 5
+#: Bits of a sketch at least and at most; rows and bytes of sketches of a region that is sieved, larger ones go on whole.
+SKETCH_LEAST, SKETCH_MOST, SIEVED_ROWS, SIEVED_BYTES = 64, 65_536, 16_384, 8 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _SIGN = np.uint64(1 << 63)
 
@@ -61,10 +63,15 @@ def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
-        out = (out ^ (out >> np.uint64(29))) * _FACTORS[i % len(_FACTORS)] + h[i : len(h) - n + 1 + i]
+        if i and i % len(_FACTORS) == 0:
+            out ^= out >> np.uint64(29)
+            out *= _FACTORS[3]
+        out += h[i : len(h) - n + 1 + i] * _FACTORS[i % len(_FACTORS)]  # of hashes, so a sum is enough
     out ^= out >> np.uint64(32)
     out *= _FACTORS[3]
-    return np.unique(out ^ (out >> np.uint64(29)))
+    out ^= out >> np.uint64(29)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def prefix_length(n: int, percent: int = PERCENT, shared: int = 1) -> int:
@@ -90,11 +97,61 @@ def packed(s: np.ndarray) -> np.ndarray:
     return s.view(np.int64)
 
 
+# ---------------------------------------------------------------- sketches
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each bit, of which there are as many as shingles, up to a power of two.
+
+    The bits in which two sketches differ are no more than the shingles that one set has and the other has not.
+    """
+    if not len(s):
+        return b""
+    bits = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << (len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """The same sketches with fewer bits."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def may_link(ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """For each row, whether its sketch leaves it possible that it links with a row of another id.
+
+    Linked sets of n and m shingles differ in (100 - percent) (n + m) / (100 + percent) of them at most.
+    """
+    out = np.zeros(len(ids), bool)
+    words = np.array([len(x) // 8 for x in sketches])
+    for w in np.unique(words[words > 0]).tolist():
+        # Those of this width with each other, and with wider ones of a size that may link, folded.
+        least = int(sizes[words == w].max())
+        at = np.flatnonzero((words == w) | (words > w) & (percent * sizes <= 100 * least))
+        at = at[np.argsort(sizes[at], kind="stable")]
+        rows = np.concatenate([_folded(np.frombuffer(sketches[i], np.uint64)[None], w) for i in at])
+        n, own = sizes[at], ids[at]
+        step = max(1, (1 << 19) // (w * len(at)))
+        home = np.flatnonzero(words[at] == w)
+        for k in range(0, len(home), step):
+            i = home[k : k + step]
+            low, high = np.searchsorted(100 * n, percent * n[i[0]]), np.searchsorted(percent * n, 100 * n[i[-1]], "right")
+            for lo in range(low, high, 1 << 14):
+                j = np.arange(lo, min(high, lo + (1 << 14)))
+                differ = np.bitwise_count(rows[i, None] ^ rows[None, j]).sum(2, dtype=np.int64)
+                near = ((100 + percent) * differ <= (100 - percent) * (n[i, None] + n[None, j])) & (own[i, None] != own[None, j])
+                out[at[i]] |= near.any(1)
+                out[at[j]] |= near.any(0)
+    return out
+
+
 # ---------------------------------------------------------------- passes over texts
 
 
-class _Profiled:
-    """Id, tie, size and digest of each row's set; and, marked by a null digest, what is common in the task."""
+class _Counted:
+    """Shingles that are common in the task, and how many sets hold each."""
 
     def __init__(self, size: int) -> None:
         self.size = size
@@ -116,30 +173,22 @@ class _Profiled:
             seen.clear()
 
         for b in batches:
-            sizes, digests = [], []
-            for text in as_bytes(b.column(2)):
+            for text in as_bytes(b.column(0)):
                 s = shingles(text, self.size)
                 digest = xxh3_128_digest(s.tobytes())
-                sizes.append(len(s))
-                digests.append(digest)
                 if len(s) and digest not in seen:
                     seen.add(digest)
                     held.append(s)
                     total += len(s)
-            yield self._batch(b.column(0), b.column(1), sizes, digests)
             if total >= COUNTED:
                 count()
                 total = 0
         count()
-        yield self._batch(pa.array(list(common), pa.int64()), pa.array([0] * len(common), pa.int64()), list(common.values()), [None] * len(common))
-
-    @staticmethod
-    def _batch(ids: pa.Array, ties: pa.Array, sizes: list, digests: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, ties, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["id", "tie", "n", "digest"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(common), pa.int64()), pa.array(list(common.values()), pa.int64())], names=["key", "n"])
 
 
-class _Prefixed:
-    """For each row: its id and the first shingles in the common order, common ones apart."""
+class _Profiled:
+    """Id, tie, size, digest and sketch of each row's set, and its first shingles in the common order: rare ones, then common ones."""
 
     def __init__(self, size: int, percent: int, common) -> None:  # noqa: ANN001
         self.size, self.percent, self.common = size, percent, common
@@ -147,27 +196,27 @@ class _Prefixed:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = self.common.value  # hashes sorted; rank: later for more common ones
         for b in batches:
-            keys, sizes, owners, is_common = [], [], [], []
-            ids = b.column(0).to_pylist()
-            for i, text in enumerate(as_bytes(b.column(1))):
+            sizes, digests, sketches, keys, ends, rare = [], [], [], [np.zeros(0, np.int64)], [0], []
+            for text in as_bytes(b.column(2)):
                 s = shingles(text, self.size)
-                if not len(s):
-                    continue
-                own = ids[i]
-                n, whole_size = prefix_length(len(s), self.percent, SHARED), len(s)
-                if len(hashes):
+                sizes.append(len(s))
+                digests.append(xxh3_128_digest(s.tobytes()))
+                sketches.append(sketch(s))
+                n = prefix_length(len(s), self.percent, SHARED)
+                if len(hashes) and n:
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     rank = np.where(hashes[at] == s, ranks[at], 0)
                     first = np.argsort(rank, kind="stable")[:n]
                     s, rank = s[first], rank[first]
+                    rare.append(int((rank == 0).sum()))
                 else:
-                    s, rank = s[:n], np.zeros(min(n, len(s)), np.int64)
+                    s = s[:n]
+                    rare.append(n)
                 keys.append(packed(s))
-                sizes.append(np.full(len(s), whole_size, np.int32))
-                owners.append(np.full(len(s), own, np.int64))
-                is_common.append(rank > 0)
-            whole = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(whole(keys, np.int64)), pa.array(whole(sizes, np.int32)), pa.array(whole(owners, np.int64)), pa.array(whole(is_common, bool))], names=["key", "n", "id", "common"])
+                ends.append(ends[-1] + n)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), lists, pa.array(rare, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "tie", "n", "digest", "sketch", "keys", "rare"])
 
 
 def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,25 +331,37 @@ def join_in_memory(members: list[tuple[int, bool, np.ndarray]], percent: int) ->
             i = parent[i]
         return i
 
-    index: dict[int, list[int]] = {}
+    index: dict[int, list[list[int]]] = {}  # of each shingle's documents so far, those known to be connected together
     out = []
     for i, (own, window, s) in enumerate(members):
         if not len(s):
             continue
         rare = s[np.argsort(times[np.searchsorted(values, s)], kind="stable")[: prefix_length(len(s), percent)]].tolist()
         tried: set[int] = set()
+        mine = i
         for key in rare:
-            for j in index.get(key, ()):
-                if j in tried:
-                    continue
-                tried.add(j)
-                if window and members[j][1] or 100 * len(members[j][2]) < percent * len(s) or root(i) == root(j):
+            for group in index.get(key, ()):
+                if len(group) == 1 and group[0] in tried or root(group[0]) == mine:
                     continue
-                if linked(overlap(members[j][2], s), len(s), len(members[j][2]), percent):
-                    parent[root(i)] = root(j)
-                    out.append((members[j][0], own))
+                for j in group:
+                    if j in tried:
+                        continue
+                    tried.add(j)
+                    if window and members[j][1] or 100 * len(members[j][2]) < percent * len(s):
+                        continue
+                    if linked(overlap(members[j][2], s), len(s), len(members[j][2]), percent):
+                        parent[mine] = root(j)
+                        mine = root(j)
+                        out.append((members[j][0], own))
+                        break
         for key in rare:
-            index.setdefault(key, []).append(i)
+            groups = index.setdefault(key, [])
+            for group in groups if mine != i else ():
+                if root(group[0]) == mine:
+                    group.append(i)
+                    break
+            else:
+                groups.append([i])
     return out
 
 
@@ -311,6 +372,62 @@ def _laid(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*rows.columns[:3])
 
 
+class _Sieved:
+    """Of regions that come sorted, the pivot first, the members whose sketches leave a link possible."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, size, whole = None, [], 0, False
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != cell:
+                    out += self._left(held)
+                    cell, held, size, whole = row[0], [], 0, False
+                if whole:
+                    out += [row] if row[1] else []
+                    continue
+                held.append(row)
+                size += len(row[5])
+                if len(held) > SIEVED_ROWS or size > SIEVED_BYTES:
+                    out += [r for r in held if r[1]]
+                    held, whole = [], True
+            yield self._batch(out)
+        yield self._batch(self._left(held))
+
+    def _left(self, held: list[tuple]) -> list[tuple]:
+        """Pairs are compared with the pivot alone, members of the region with all of it."""
+        centre = [r for r in held if not r[1]]
+        region = [r for r in held if r[1] and not r[2]]
+        out = [r for r in held if r[2] and any(self._possible([*centre, r]))]
+        if region:
+            out += [r for r, kept in zip(region, self._possible(centre + region)[len(centre) :], strict=True) if kept]
+        return out
+
+    def _possible(self, rows: list[tuple]) -> np.ndarray:
+        return may_link(np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64), [r[5] for r in rows], self.percent)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = ((0, pa.int64()), (2, pa.bool_()), (3, pa.int64()), (4, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in types], names=["cell", "single", "id", "n"])
+
+
+def sieve(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of (cell, pivot, id, single, n), rows whose sketches (id, n, sketch) leave a link with others of their cell possible.
+
+    No link is lost: sketches bound the difference of two sets from below. Members of regions, most of which share
+    one shingle by chance, so need not be read as texts.
+    """
+    centres = pairs.select("cell", F.lit(False).alias("member"), F.lit(False).alias("single"), F.col("pivot").alias("id")).distinct()
+    every = centres.unionByName(pairs.select("cell", F.lit(True).alias("member"), "single", "id"))
+    rows = every.join(sketches, "id").select("cell", "member", "single", "id", "n", "sketch").repartition("cell").sortWithinPartitions("cell", "member", "single", "id")
+    left = arrow_map(rows, _Sieved(percent), "cell long, single boolean, id long, n long")
+    return materialize(left.groupBy("cell", F.col("cell").alias("pivot"), "id").agg(F.min("single").alias("single"), F.max("n").alias("n")), "sieved")
+
+
 def measure(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """From (cell, pivot, id): cell, pivot, id, sizes n and m, and shared shingles, written to the shared folder.
 
@@ -432,31 +549,37 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, cell
     spark = documents.sparkSession
     own_id = identified(documents)[0] if own_id is None else own_id
     rows = documents.select(own_id.alias("id"), (F.lit(0).cast("long") if tie is None else tie).alias("tie"), "text")
-    profile = materialize(arrow_map(rows, _Profiled(size), "id long, tie long, n long, digest binary"), "profile")
-    rows = rows.drop("tie")
-    common = profile.where("digest IS NULL").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON_ROWS).collect()  # of bounded size
-    hashes = np.array([r.id for r in common], np.int64).view(np.uint64)
+    every = max(1, -(-rows.count() // COMMON_SAMPLE))  # the table's rows come from a sample by id: any order of shingles gives the same links
+    sampled = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").repartition(COMMON_TASKS)
+    counted = arrow_map(sampled, _Counted(size), "key long, n long")
+    common = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON_ROWS).collect()  # of bounded size
+    hashes = np.array([r.key for r in common], np.int64).view(np.uint64)
     by = np.argsort(hashes)
     table = spark.sparkContext.broadcast((hashes[by], (len(hashes) - np.arange(len(hashes)))[by]))
-    own = profile.where("digest IS NOT NULL")
+    profile = materialize(arrow_map(rows, _Profiled(size, percent, table), "id long, tie long, n long, digest binary, sketch binary, keys array<long>, rare int"), "profile")
+    rows = rows.drop("tie")
+    own = materialize(profile.select("id", "tie", "n", "digest"), "sets")
     nodes = materialize(own.where("n > 0").groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     node_of = materialize(own.where("n > 0").select("id", "digest", "n").distinct().join(nodes, "digest").select("id", "node", "n"), "members")
 
-    keys = arrow_map(rows, _Prefixed(size, percent, table), "key long, n int, id long, common boolean")
+    key = lambda keys: profile.select(F.explode(keys).alias("key"), F.col("n").cast("int").alias("n"), "id")
+    rare_keys, common_keys = key(F.slice("keys", F.lit(1), F.col("rare"))), key(F.slice("keys", F.col("rare") + 1, F.size("keys")))
     # Few keys, but of many rows: sizes fall into bands of which linked ones span two, and pivots are found by partial sums.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 * 100 / percent)))
-    banded = materialize(keys.where("common").select("key", F.explode(F.array(band, band + 1)).alias("band"), "n", "id"), "common-keys")
+    banded = materialize(common_keys.select("key", F.explode(F.array(band, band + 1)).alias("band"), "n", "id"), "common-keys")
     first = banded.groupBy("key", "band").agg(F.min(F.struct("n", "id")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "band", F.col("first.id").alias("pivot"))
     first = materialize(first, "common-pivots")  # read anew, the join's sides are plain exchanges, of which a hot key's can be split
     around = banded.join(first, ["key", "band"]).select("id", "pivot")
     # Of other keys' rows, sorted by size, each long run of sizes that may link goes to the region of its first one.
-    rest = keys.where("NOT common").select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
+    rest = rare_keys.repartition("key").sortWithinPartitions("key", "n", "id")
     found = arrow_map(rest, _Around(percent), "id long, pivot long, needed int").groupBy("id", "pivot", "needed").agg(F.count(F.lit(1)).alias("runs"))
     found = materialize(found.where("needed = 0 OR runs >= needed").select("id", "pivot", (F.col("needed") > 0).alias("single")).unionByName(around.where("id != pivot").distinct().withColumn("single", F.lit(False))), "found")
     as_node = lambda df, c: df.join(node_of.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node"), F.col("n").alias(f"{c}_n")), c)
     pairs = as_node(as_node(found, "id"), "pivot").select(F.col("pivot_node").alias("cell"), F.col("pivot_node").alias("pivot"), F.col("id_node").alias("id"), F.col("id_n").alias("n"), "single")
     pairs = materialize(pairs.where("id != pivot").groupBy("cell", "pivot", "id").agg(F.min("single").alias("single"), F.max("n").alias("n")), "pairs")
-    discard(banded, first, found)
+    sketches = profile.where("n > 0").select("id", "n", "sketch").distinct()
+    pairs, unsieved = sieve(pairs, sketches, percent), pairs
+    discard(banded, first, found, unsieved, profile)
     needed = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
     texts = bucketed(arrow_map(rows, _compressed, "id long, text binary").join(needed.hint("merge"), "id", "left_semi"), "texts", "id")
 

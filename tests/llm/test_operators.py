@@ -92,6 +92,51 @@ def test_jaccard_runs_against_brute_force():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_jaccard_sketches_lose_no_link():
+    r = np.random.default_rng(11)
+    for k in range(60):
+        ids, sets = [], []
+        for base in (r.integers(0, 1 << 63, int(n)).astype(np.uint64) for n in r.choice([1, 3, 40, 64, 65, 130, 700], 4)):
+            for _ in range(int(r.integers(1, 7))):
+                s = base.copy()
+                s[r.integers(0, len(s), int(r.integers(0, 2 + len(s) // 6)))] = r.integers(0, 1 << 63)
+                ids.append(int(r.integers(0, 30)))
+                sets.append(np.unique(np.r_[s, r.integers(0, 1 << 63, int(r.integers(0, 2 + len(s) // 6))).astype(np.uint64)]))
+        kept = jaccard.may_link(np.array(ids), np.array([len(s) for s in sets]), [jaccard.sketch(s) for s in sets], 80)
+        for i, a in enumerate(sets):
+            assert kept[i] or not any(ids[i] != ids[j] and jaccard.linked(jaccard.overlap(a, b), len(a), len(b)) for j, b in enumerate(sets)), k
+
+
+def test_jaccard_reads_no_texts_for_chance_shingles(spark, monkeypatch):
+    """Documents that share one passage only lie in one region; their texts must not travel for that."""
+    shared = prose(50, 6)
+    texts = [f"{prose(300 + k, 90)} {shared} {prose(600 + k, 90)}" for k in range(60)] + [prose(900, 150), prose(900, 150) + " x"]
+    moved, bucketed = [], jaccard.bucketed
+
+    def watched(df, *args):
+        out = bucketed(df, *args)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "bucketed", watched)
+    monkeypatch.setattr(jaccard, "COMMON_LEAST", 1 << 30)  # no table of common shingles, as for shingles beyond its rows
+    rows = jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.id: (x.n, x.component) for x in rows} == jaccard.brute_force(list(enumerate(texts)))
+    assert moved == [2]
+
+
+def test_jaccard_sieves_large_regions_whole(spark, monkeypatch):
+    texts = [prose(20, 60) + " " + prose(100 + k // 4, 60) + f" z{k}" for k in range(40)]
+    for name, most in (("SIEVED_ROWS", 7), ("SIEVED_BYTES", 100), ("SIEVED_ROWS", 1 << 20)):
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, name, most)
+            batch = [(1, False, False, 1000, 100, b"\0" * 16)] + [(1, True, False, k, 100, jaccard.sketch(jaccard.shingles(t.encode()))) for k, t in enumerate(texts)]
+            table = pa.Table.from_pylist([dict(zip(("cell", "member", "single", "id", "n", "sketch"), x, strict=True)) for x in batch])
+            for rows in (3, 8, 41):
+                out = pa.Table.from_batches(jaccard._Sieved(80)(table.to_batches(max_chunksize=rows))).to_pylist()
+                assert sorted(x["id"] for x in out) == list(range(40))
+
+
 def test_jaccard_keeps_one(docs, empty):
     kept = jaccard.keep_one(docs)
     assert kept.schema == docs.schema or kept.columns == docs.columns
